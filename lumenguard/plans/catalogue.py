@@ -1,0 +1,4 @@
+"""Queries by name and their SQL twins."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
