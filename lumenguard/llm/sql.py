@@ -54,3 +54,19 @@ y AS (SELECT x.*, (n_words < {_P.min_words} OR 100 * n_repeat_words > {_P.max_re
   FROM x JOIN lim ON coalesce(x.lang, chr(0)) = lim.lang AND coalesce(x.source, chr(0)) = lim.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND inside) AS kept FROM y
 """
+
+DECONTAMINATION = r"""
+WITH az AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark, az),
+bw AS (SELECT item_id, least(len(ws), 13) AS size, ws, unnest(range(1, len(ws) - least(len(ws), 13) + 2)) AS i FROM b WHERE len(ws) > 0),
+win AS (SELECT DISTINCT item_id, size, array_to_string(ws[i:i + size - 1], ' ') AS w FROM bw),
+sizes AS (SELECT DISTINCT size FROM win),
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents, az),
+dw AS (SELECT rid, size, i, array_to_string(ws[i:i + size - 1], ' ') AS w FROM (SELECT rid, size, ws, unnest(range(1, len(ws) - size + 2)) AS i FROM d, sizes)),
+hit AS (SELECT DISTINCT rid, size, i, item_id FROM dw JOIN win USING (size, w)),
+pos AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + size)) AS p FROM hit) GROUP BY rid),
+its AS (SELECT rid, list_sort(list(DISTINCT item_id::VARCHAR)) AS items FROM hit GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, (coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws)) AS contaminated
+FROM d LEFT JOIN pos USING (rid) LEFT JOIN its USING (rid)
+"""
