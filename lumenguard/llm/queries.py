@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, quality_rules, sql
+from . import decontamination, quality_rules, secret_scan, sql
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,11 +24,22 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", n_items, F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The owner of a text is its source, its repository that and its language."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), F.col("source"), F.concat_ws("/", "source", "lang"))
+    n = lambda i: F.size(F.filter("spans", lambda x: x.k == i)).cast("long")
+    base = secret_scan.as_text(F.filter("spans", lambda x: x.k < len(secret_scan.BASE)))
+    counts = [n(i).alias(f"n_{k.name}") for i, k in enumerate(secret_scan.BASE)]
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), secret_scan.as_text(F.col("spans")).alias("spans"), F.size("live").cast("long").alias("n_live"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_decontamination": op4_decontamination,
+    "op6_secret_scan": op6_secret_scan,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": sql.QUALITY_RULES,
     "op4_decontamination": sql.DECONTAMINATION,
+    "op6_secret_scan": sql.SECRET_SCAN,
 }

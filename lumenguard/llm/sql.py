@@ -1,6 +1,8 @@
 """The queries' answers in DuckDB's SQL, written apart from the operators."""
 
 from .quality_rules import RULES, Params
+from .secret_scan import EXAMPLE_OWNERS
+from .secret_scan import KINDS as SECRETS
 
 _P = Params()
 
@@ -70,3 +72,29 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce
   sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, (coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws)) AS contaminated
 FROM d LEFT JOIN pos USING (rid) LEFT JOIN its USING (rid)
 """
+
+
+def _spans(i: int) -> str:
+    k = SECRETS[i]
+    quoted = k.pattern.replace("'", "''")
+    secret = f"regexp_extract_all(text, '{quoted}', {k.secret})"
+    return f"""SELECT rid, {i} AS k, i, len(gaps) AS n, list_sum(list_transform(gaps[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0)::BIGINT AS s, length(found[i]) AS len, secrets[i] AS v
+  FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM (SELECT rid, string_split_regex(text, '{quoted}') AS gaps, regexp_extract_all(text, '{quoted}') AS found, {secret} AS secrets FROM d))
+  WHERE length(secrets[i]) >= {k.least}"""
+
+
+def _listed(of: str, where: str = "TRUE") -> str:
+    names = "[" + ", ".join(f"'{k.name}'" for k in SECRETS) + "]"
+    return f"coalesce(string_agg({names}[k + 1] || ':' || s || ':' || (s + len), ',' ORDER BY s, k) FILTER (WHERE {where}), '') AS {of}"
+
+
+SECRET_SCAN = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+f AS ({" UNION ALL ".join(_spans(i) for i in range(len(SECRETS)))}),
+o AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) AS owners FROM f JOIN d USING (rid) GROUP BY v),
+g AS (SELECT f.*, owners < {EXAMPLE_OWNERS} AS live FROM f JOIN o USING (v)),
+kept AS (SELECT * FROM g WHERE k < 3 OR (live AND NOT EXISTS (SELECT 1 FROM g b WHERE b.rid = g.rid AND b.k < 3 AND b.s < g.s + g.len AND g.s < b.s + b.len))),
+a AS (SELECT rid, count(*) FILTER (WHERE k = 0) AS n0, count(*) FILTER (WHERE k = 1) AS n1, count(*) FILTER (WHERE k = 2) AS n2, count(*) FILTER (WHERE live) AS n_live, {_listed("base", "k < 3")}, {_listed("spans")} FROM kept GROUP BY rid)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
+FROM d LEFT JOIN a USING (rid)
+"""
