@@ -7,13 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, quality_rules, secret_scan, sql
+from . import decontamination, quality_rules, secret_scan, sql, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The rules that hold before mined ones.
+HOST_RULES = [
+    url_filter.HostRule("block", "com/en/"),
+    url_filter.HostRule("allow", "example.com/en/7"),
+    url_filter.HostRule("allow", "net/de/"),
+    url_filter.HostRule("block", "example.net/de/8"),
+    url_filter.HostRule("block", "org/es/"),
+]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page shows the document whose id is the first number in its path; it is bad if that is labelled toxic or of low quality."""
+    pages = table(spark, sf_dir, "pages")
+    shown = pages.select("page_id", F.regexp_extract(url_filter.path_of(F.col("url")), r"/(\d{1,18})(?!\d)", 1).try_cast("long").alias("doc_id"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
+    found = url_filter.judge(pages, shown.join(labels, "doc_id").select("page_id", "bad"), HOST_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict", "mined_rule")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).select("doc_id", *quality_rules.BASE, "base_failed", "kept")
 
@@ -34,6 +53,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op3_quality_rules": op3_quality_rules,
     "op4_decontamination": op4_decontamination,
     "op6_secret_scan": op6_secret_scan,

@@ -31,4 +31,4 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 def staged_bytes(spark: SparkSession, df: DataFrame) -> int:
     """Optimizer's size estimate of a staged table, which for files is their size on disk."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
