@@ -1,5 +1,6 @@
 """The queries' answers in DuckDB's SQL, written apart from the operators."""
 
+from .line_dedup import MIN_WORDS
 from .quality_rules import RULES, Params
 from .secret_scan import EXAMPLE_OWNERS
 from .secret_scan import KINDS as SECRETS
@@ -98,3 +99,14 @@ a AS (SELECT rid, count(*) FILTER (WHERE k = 0) AS n0, count(*) FILTER (WHERE k
 SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
 FROM d LEFT JOIN a USING (rid)
 """
+
+SUBSTRING_DEDUP = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT rid, doc_id, i, ls[i] AS line, coalesce(list_sum(list_transform(ls[1:i - 1], lambda x: length(x) + 1)), 0)::BIGINT AS s FROM (SELECT rid, doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+w AS (SELECT *, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM l),
+r AS (SELECT *, len(ws) >= {MIN_WORDS} AND row_number() OVER (PARTITION BY array_to_string(ws, ' '), len(ws) >= {MIN_WORDS} ORDER BY doc_id, s) > 1 AS gone FROM w),
+a AS (SELECT rid, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY s) FILTER (WHERE NOT gone), '') AS kept,
+  coalesce(string_agg(s || ':' || (s + length(line)), ',' ORDER BY s) FILTER (WHERE NOT gone), '') AS spans FROM r GROUP BY rid)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN text IS NOT NULL THEN sha256(kept) END AS text_sha256, sha256(coalesce(spans, '')) AS spans_sha256
+FROM d LEFT JOIN a USING (rid)
+"""
