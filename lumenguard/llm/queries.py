@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, quality_rules, secret_scan, sql, url_filter
+from . import decontamination, line_dedup, near_dedup, quality_rules, secret_scan, sql, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), secret_scan.as_text(F.col("spans")).alias("spans"), F.size("live").cast("long").alias("n_live"))
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.linked(table(spark, sf_dir, "documents"), near_dedup.Params(width=2))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.array_join(F.transform("kept_spans", lambda x: F.concat_ws(":", x.start, x.end)), ",")
@@ -63,11 +67,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_decontamination": op4_decontamination,
     "op6_secret_scan": op6_secret_scan,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": sql.QUALITY_RULES,
     "op4_decontamination": sql.DECONTAMINATION,
     "op6_secret_scan": sql.SECRET_SCAN,
+    "op9_minhash_near_dedup": sql.NEAR_DEDUP,
     "op10_substring_dedup": sql.SUBSTRING_DEDUP,
 }
