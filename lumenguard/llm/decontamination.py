@@ -141,6 +141,10 @@ def run_results(distinct_runs: DataFrame, windows: DataFrame, sizes: list[int])
     return found.select("run", grown.alias("n_hit"), "items")
 
 
+def words_key(text: Column) -> Column:
+    return F.sha2(F.array_join(words(lower_az(text), NOT_ALNUM), " "), 256)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, percent: int = 5) -> DataFrame:
     """(doc_id, words_key, n_words, n_hit, items, contaminated): hit words, sorted item ids as strings; contaminated from ``percent`` of the words on."""
     windows = staged(item_windows(benchmark, span), "windows")
