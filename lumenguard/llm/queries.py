@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, near_dedup, quality_rules, secret_scan, sentencepiece_codec, sql, url_filter
+from . import decontamination, line_dedup, near_dedup, quality_rules, secret_scan, sentencepiece_codec, sql, token_files, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,12 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), secret_scan.as_text(F.col("spans")).alias("spans"), F.size("live").cast("long").alias("n_live"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files.written_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2)
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.linked(table(spark, sf_dir, "documents"), near_dedup.Params(width=2))
 
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_decontamination": op4_decontamination,
     "op6_secret_scan": op6_secret_scan,
+    "op8_token_files": op8_token_files,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
