@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, near_dedup, quality_rules, secret_scan, sentencepiece_codec, sql, token_files, url_filter
+from . import decontamination, line_dedup, near_dedup, quality_rules, secret_scan, sentencepiece_codec, sql, token_files, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,15 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), secret_scan.as_text(F.col("spans")).alias("spans"), F.size("live").cast("long").alias("n_live"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages have no time of capture; their ids, as seconds, stand for it."""
+    captured = F.coalesce(F.pmod("page_id", F.lit(1_000_000_000)), F.lit(0).cast("long"))
+    records, index = warc.archived_and_read(table(spark, sf_dir, "pages"), captured)
+    places = index.select(F.col("page_id").alias("i_id"), "url_key", "place", "capture_no").dropDuplicates(["i_id"])
+    found = records.join(places, F.col("page_id").eqNullSafe(F.col("i_id")), "left")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "place", "capture_no")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -85,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_decontamination": op4_decontamination,
     "op6_secret_scan": op6_secret_scan,
+    "op7_warc": op7_warc,
     "op8_token_files": op8_token_files,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_substring_dedup": op10_substring_dedup,
@@ -93,6 +103,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": sql.QUALITY_RULES,
     "op4_decontamination": sql.DECONTAMINATION,
     "op6_secret_scan": sql.SECRET_SCAN,
+    "op7_warc": sql.WARC,
     "op9_minhash_near_dedup": sql.NEAR_DEDUP,
     "op10_substring_dedup": sql.SUBSTRING_DEDUP,
 }

@@ -122,3 +122,17 @@ c AS (SELECT id, min(root) AS component FROM r GROUP BY id)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component, d.doc_id) AS component_id, coalesce(component, d.doc_id) = d.doc_id AS kept
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.id = d.doc_id
 """
+
+_HOST = r"translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+WARC = rf"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest, url FROM pages),
+d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS hex, max(page_id) OVER (PARTITION BY sha1(html)) AS response,
+  CASE WHEN url IS NULL THEN '' ELSE array_to_string(list_reverse(string_split({_HOST}, '.')), ',') || ')' || regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) || regexp_extract(rest, '\?[^#]*') END AS url_key FROM p),
+b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: printf('%04d', bin(strpos('0123456789abcdef', substr(hex, i::INT, 1)) - 1)::INT)), '') AS bits FROM d)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (list_reduce(list_transform(range(1, 6), lambda k: substr(bits, (5 * i + k)::INT, 1)::INT), lambda a, x: 2 * a + x) + 1)::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < response THEN response END AS refers_to, url_key,
+  row_number() OVER (ORDER BY url_key COLLATE "binary", page_id) - 1 AS place, row_number() OVER (PARTITION BY url_key ORDER BY page_id) AS capture_no
+FROM b
+"""
