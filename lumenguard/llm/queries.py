@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, near_dedup, quality_rules, secret_scan, sentencepiece_codec, sql, token_files, url_filter, warc
+from . import decontamination, language_id, line_dedup, near_dedup, quality_rules, secret_scan, sentencepiece_codec, sql, token_files, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,13 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", n_items, F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    models = language_id.train(docs.where(~held_out).select("doc_id", "text", "lang"))
+    return language_id.predict(docs, models, ["doc_id", held_out.alias("held_out")])
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The owner of a text is its source, its repository that and its language."""
     found = secret_scan.scan(table(spark, sf_dir, "documents"), F.col("source"), F.concat_ws("/", "source", "lang"))
@@ -93,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_quality_rules": op3_quality_rules,
     "op4_decontamination": op4_decontamination,
+    "op5_language_id": op5_language_id,
     "op6_secret_scan": op6_secret_scan,
     "op7_warc": op7_warc,
     "op8_token_files": op8_token_files,
