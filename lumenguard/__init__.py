@@ -1 +1 @@
-"""Sensitive-content detection over DataFrames, and corpus operators in ``lumenguard.llm``."""
+"""Finding sensitive and regulated content in tables of text, batch or streaming; ``comply`` and ``Session`` are in ``lumenguard.session``."""

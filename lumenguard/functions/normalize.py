@@ -3,7 +3,6 @@
 Offset maps give the place in the original for each character of a view; null is the identity.
 """
 
-from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
@@ -11,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .spans import find, kept_places, let, none_of
 
@@ -23,7 +23,7 @@ URL = r"[A-Za-z0-9_\-.~!*'();:@&=+$,/?#\[\]%]+"
 ESCAPE = "%[0-9A-Fa-f]{2}"
 LEAST, LEFT_TRIMS = 24, 4
 VIEW = "struct<text:string,view:string,map:array<int>,has_map:boolean,start:int,end:int,depth:int>"
-FOLDED = "struct<text:string,map:array<int>,changed:int>"
+FOLDED = T.StructType([T.StructField("text", T.StringType()), T.StructField("map", T.ArrayType(T.IntegerType())), T.StructField("changed", T.IntegerType())])
 
 
 @F.pandas_udf(FOLDED)

@@ -1 +1 @@
-"""TODO."""
+"""Registered queries and the SQL that gives the same rows."""

@@ -1 +1,59 @@
-"""TODO."""
+"""Files, JSON lines and tables as inputs; reports as outputs."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+CASES = "id string, input string, expect struct<types:array<string>,verdict:string,violations:array<struct<type:string,value:string,start:int,end:int,confidence:double,view:string,originalStart:int,originalEnd:int>>>, origin string, fixture string, note string"
+CORPUS = "class string, label string, text string, variant string"
+
+
+class UsageError(ValueError):
+    """Nothing to scan."""
+
+
+def decode_input(content: Column) -> Column:
+    """Bytes as text by their byte order mark, which goes; else as UTF-8 with U+FFFD for what is malformed."""
+    starts = lambda mark: F.substring(content, 1, len(mark)) == F.lit(mark)
+    rest = lambda n: F.substring(content, n + 1, 1 << 30)
+    whole = lambda n, unit: F.substring(content, n + 1, ((F.octet_length(content) - n) / unit).cast("int") * unit)
+    utf8 = lambda b: F.make_valid_utf8(b.cast("string"))
+    wide = lambda n, unit, name: F.decode(whole(n, unit), name)
+    return (
+        F.when(starts(b"\xff\xfe\x00\x00"), wide(4, 4, "UTF-32LE"))
+        .when(starts(b"\x00\x00\xfe\xff"), wide(4, 4, "UTF-32BE"))
+        .when(starts(b"\xff\xfe"), wide(2, 2, "UTF-16LE"))
+        .when(starts(b"\xfe\xff"), wide(2, 2, "UTF-16BE"))
+        .when(starts(b"\xef\xbb\xbf"), utf8(rest(3)))
+        .otherwise(utf8(content))
+    )
+
+
+def files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, length, text), one row for each file; a file that can't be read ends the query."""
+    if not paths:
+        raise UsageError("no input")
+    raw = spark.read.format("binaryFile").load(paths)
+    return raw.select("path", "length", F.when(F.col("length") == 0, "").otherwise(decode_input(F.col("content"))).alias("text"))
+
+
+def text(spark: SparkSession, value: str, name: str = "-") -> DataFrame:
+    """One text, such as standard input, as a table."""
+    return spark.createDataFrame([(name, len(value.encode("utf-8", "surrogatepass")), value)], "path string, length long, text string")
+
+
+def cases(spark: SparkSession, path: str) -> DataFrame:
+    """Expected findings from JSON lines; blank lines are skipped, and equal ids are an error."""
+    found = spark.read.schema(CASES).json(path).where(F.col("id").isNotNull())
+    if twice := [r["id"] for r in found.groupBy("id").count().where("count > 1").limit(5).collect()]:
+        raise ValueError(f"ids occur twice: {', '.join(twice)}")
+    return found
+
+
+def corpus(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(CORPUS).json(path)
+
+
+def write_json(report: DataFrame, path: str) -> None:
+    report.write.mode("error").text(path)
