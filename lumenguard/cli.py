@@ -26,7 +26,7 @@ def main(args: list[str] | None = None) -> int:
     how = parser.add_mutually_exclusive_group()
     how.add_argument("--json", action="store_true")
     how.add_argument("--quiet", "-q", action="store_true")
-    a = parser.parse_args(args)
+    a = parser.parse_intermixed_args(args)
     spark = SparkSession.builder.appName("lumenguard").getOrCreate()
     named = [f for f in a.files if f != "-"]
     try:

@@ -21,8 +21,8 @@ def decode_input(content: Column) -> Column:
     utf8 = lambda b: F.make_valid_utf8(b.cast("string"))
     wide = lambda n, unit, name: F.decode(whole(n, unit), name)
     return (
-        F.when(starts(b"\xff\xfe\x00\x00"), wide(4, 4, "UTF-32LE"))
-        .when(starts(b"\x00\x00\xfe\xff"), wide(4, 4, "UTF-32BE"))
+        F.when(starts(b"\xff\xfe\x00\x00"), wide(0, 4, "UTF-32"))
+        .when(starts(b"\x00\x00\xfe\xff"), wide(0, 4, "UTF-32"))
         .when(starts(b"\xff\xfe"), wide(2, 2, "UTF-16LE"))
         .when(starts(b"\xfe\xff"), wide(2, 2, "UTF-16BE"))
         .when(starts(b"\xef\xbb\xbf"), utf8(rest(3)))
