@@ -35,7 +35,19 @@ def files(spark: SparkSession, paths: list[str]) -> DataFrame:
     if not paths:
         raise UsageError("no input")
     raw = spark.read.format("binaryFile").load(paths)
-    return raw.select("path", "length", F.when(F.col("length") == 0, "").otherwise(decode_input(F.col("content"))).alias("text"))
+    empty = spark.createDataFrame([(p, 0, "") for p in empty_files(spark, paths)], "path string, length long, text string")  # which Spark leaves out
+    return raw.where("length > 0").select("path", "length", decode_input(F.col("content")).alias("text")).unionByName(empty)
+
+
+def empty_files(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Files without a byte among ``paths`` and directly in those that are folders."""
+    jvm, conf, found = spark._jvm, spark._jsc.hadoopConfiguration(), []
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        for status in path.getFileSystem(conf).listStatus(path):
+            if status.isFile() and status.getLen() == 0 and not status.getPath().getName().startswith(("_", ".")):
+                found.append(status.getPath().toString())
+    return found
 
 
 def text(spark: SparkSession, value: str, name: str = "-") -> DataFrame:
