@@ -108,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_url_filter": sql.URL_FILTER,
     "op3_quality_rules": sql.QUALITY_RULES,
     "op4_decontamination": sql.DECONTAMINATION,
     "op6_secret_scan": sql.SECRET_SCAN,

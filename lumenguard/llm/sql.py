@@ -136,3 +136,44 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
   row_number() OVER (ORDER BY url_key COLLATE "binary", page_id) - 1 AS place, row_number() OVER (PARTITION BY url_key ORDER BY page_id) AS capture_no
 FROM b
 """
+
+_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
+
+
+def _rule(column: int) -> str:
+    """Longest first."""
+    cases = []
+    for r in sorted(_RULES, key=lambda r: -len(r[1])):
+        own, _, start = r[1].partition("/")
+        cases.append(f"WHEN (host = '{own}' OR ends_with(host, '.{own}')) AND starts_with(path, '/{start}') THEN '{r[column]}'")
+    return f"CASE {' '.join(cases)} END"
+
+
+_TOKENS = " || ".join(
+    f"list_transform(list_filter({of}, lambda x: x <> ''), lambda x: '{kind}:' || x)"
+    for kind, of in (
+        ("host", "string_split(host, '.')"),
+        ("path", "string_split(translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '/')"),
+        ("query", r"list_transform(string_split(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: split_part(x, '=', 1))"),
+    )
+)
+_SETS = " UNION ALL ".join(
+    f"SELECT [{', '.join(f'{x}.tok' for x in names)}] AS toks, page_id, a.bad AS bad FROM top a " + " ".join(f"JOIN top {x} USING (page_id)" for x in names[1:]) + (f" WHERE {' AND '.join(f'{x}.tok < {y}.tok' for x, y in zip(names, names[1:], strict=False))}" if len(names) > 1 else "")
+    for names in ("a", "ab", "abc")
+)
+
+URL_FILTER = rf"""
+WITH p0 AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT *, {_HOST} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p0),
+t AS (SELECT DISTINCT page_id, url, unnest({_TOKENS}) AS tok FROM p WHERE url IS NOT NULL),
+l AS (SELECT page_id, bool_or(toxic = 1 OR quality = 0) AS bad FROM p JOIN labels ON doc_id = try_cast(regexp_extract(path, '/([0-9]{{1,18}})(?:[^0-9]|$)', 1) AS BIGINT) GROUP BY page_id),
+least_n AS (SELECT greatest(20, ceil(count(*) * 2 / 1000.0)) AS m FROM l),
+f AS (SELECT tok, count(*) AS n FROM t JOIN l USING (page_id), least_n GROUP BY tok, m HAVING count(*) >= m),
+top AS (SELECT page_id, bad, tok FROM t JOIN l USING (page_id) JOIN f USING (tok) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY n, tok) <= 10),
+s AS (SELECT toks, count(*) AS n, count(*) FILTER (WHERE bad) AS n_bad FROM ({_SETS}) GROUP BY toks),
+sure AS (SELECT toks, n, n_bad FROM s, least_n WHERE n_bad >= m AND n_bad * 100 >= n * 60),
+rules AS (SELECT * FROM sure x WHERE NOT EXISTS (SELECT 1 FROM sure y WHERE len(y.toks) < len(x.toks) AND list_has_all(x.toks, y.toks) AND y.n_bad * x.n >= x.n_bad * y.n)),
+u AS (SELECT url, list(DISTINCT tok) AS toks FROM t GROUP BY url),
+m AS (SELECT url, array_to_string(rules.toks, ' & ') AS mined_rule FROM u JOIN rules ON list_has_all(u.toks, rules.toks) QUALIFY row_number() OVER (PARTITION BY url ORDER BY n_bad / n DESC, n DESC, array_to_string(rules.toks, ' & ') DESC) = 1)
+SELECT page_id, host, path, {_rule(1)} AS rule, coalesce({_rule(0)}, CASE WHEN mined_rule IS NULL THEN 'allow' ELSE 'block' END) AS verdict, mined_rule FROM p LEFT JOIN m USING (url)
+"""
