@@ -54,20 +54,23 @@ def composed(outer: Column, inner: Column) -> Column:
     return F.when(outer.isNull(), inner).when(inner.isNull(), outer).otherwise(F.transform(outer, lambda i: F.get(inner, i)))
 
 
+def _without(text: Column, pattern: str) -> Column:
+    """(text, map, removed): ``text`` less the matches of ``pattern``."""
+
+    def placed(out: Column) -> Column:
+        removed = F.length(text) - F.length(out)
+        places = F.when(removed > 0, kept_places(text, find(text, pattern)))
+        return F.struct(out.alias("text"), places.alias("map"), removed.alias("removed"))
+
+    return let(F.regexp_replace(text, pattern, ""), placed)
+
+
 def zero_width(text: Column) -> Column:
-    """(text, map, removed)."""
-    out = F.regexp_replace(text, ZERO_WIDTH, "")
-    removed = F.length(text) - F.length(out)
-    places = F.when(removed > 0, kept_places(text, find(text, ZERO_WIDTH)))
-    return F.struct(out.alias("text"), places.alias("map"), removed.alias("removed"))
+    return _without(text, ZERO_WIDTH)
 
 
 def compact(text: Column) -> Column:
-    """(text, map, removed)."""
-    out = F.regexp_replace(text, BETWEEN, "")
-    removed = F.length(text) - F.length(out)
-    places = F.when(removed > 0, kept_places(text, find(text, BETWEEN)))
-    return F.struct(out.alias("text"), places.alias("map"), removed.alias("removed"))
+    return _without(text, BETWEEN)
 
 
 def printable(text: Column) -> Column:

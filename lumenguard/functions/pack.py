@@ -25,16 +25,16 @@ class Pattern:
     flags: str
     validator: str
     source: str
-    hint: str = ""  # what a text must match for the pattern to have a chance
+    hint: str = ""  # what a text must match for the pattern to have a chance; after (?i), words of which it must hold one
 
 
 #: Patterns in scan order, in the dialect that Python, JavaScript, RE2 and Java share.
 PATTERNS = (
     Pattern("ssn", "SSN", 0.95, "", "ssnArea", r"\b(\d{3}-\d{2}-\d{4})\b", r"\d-\d"),
     Pattern("pan", "PAN", 0.90, "", "luhn", r"\b(\d[\d -]{11,22}\d)\b", r"\d[\d -]{11}"),
-    Pattern("cui-marking", "CUI", 0.99, "i", "none", r"\b(CUI//SP-[A-Z-]+|CONTROLLED\s+UNCLASSIFIED\s+INFORMATION|FOR\s+OFFICIAL\s+USE\s+ONLY|CUI//[A-Z-]+)\b", r"(?i)CUI//|CLASSIFIED|OFFICIAL"),
+    Pattern("cui-marking", "CUI", 0.99, "i", "none", r"\b(CUI//SP-[A-Z-]+|CONTROLLED\s+UNCLASSIFIED\s+INFORMATION|FOR\s+OFFICIAL\s+USE\s+ONLY|CUI//[A-Z-]+)\b", "(?i)CUI//|CLASSIFIED|OFFICIAL"),
     Pattern("aws-access-key-id", "CREDENTIAL", 0.98, "", "none", r"\b(AKIA[0-9A-Z]{16})\b", "AKIA"),
-    Pattern("aws-secret-access-key", "CREDENTIAL", 0.90, "i", "none", r"""(?:aws[_-]?)?secret[_-]?access[_-]?key["']?\s*[:=]\s*['"]?([A-Za-z0-9/+]{40})['"]?""", "(?i)access[_-]?key"),
+    Pattern("aws-secret-access-key", "CREDENTIAL", 0.90, "i", "none", r"""(?:aws[_-]?)?secret[_-]?access[_-]?key["']?\s*[:=]\s*['"]?([A-Za-z0-9/+]{40})['"]?""", "(?i)key"),
     Pattern("anthropic-api-key", "CREDENTIAL", 0.98, "", "none", r"(sk-ant-api\d{2}-[A-Za-z0-9_-]{20,1000})", "sk-ant-api"),
     Pattern("openai-project-key", "CREDENTIAL", 0.98, "", "none", r"(sk-proj-[A-Za-z0-9_-]{20,1000})", "sk-proj-"),
     Pattern("openrouter-key", "CREDENTIAL", 0.98, "", "none", r"(sk-or-v1-[A-Za-z0-9]{48,1000})", "sk-or-v1-"),

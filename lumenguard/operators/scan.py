@@ -23,12 +23,22 @@ def is_reference(value: Column) -> Column:
     return F.trim(value).rlike(pack.reference_regex())
 
 
-def pattern_matches(text: Column, idx: int, p: pack.Pattern) -> Column:
+def may_match(text: Column, low: Column, hint: str) -> Column:
+    """A cheap necessary condition. ``low`` is the text in lower case; words are looked up in it, which is faster than a pattern without case."""
+    if not hint.startswith("(?i)"):
+        return text.contains(hint) if hint.replace("-", "").replace("_", "").isalnum() else text.rlike(hint)
+    found = F.lit(False)
+    for word in hint.removeprefix("(?i)").split("|"):
+        found |= low.contains(word.lower())
+    return found
+
+
+def pattern_matches(text: Column, idx: int, p: pack.Pattern, low: Column | None = None) -> Column:
     """Array of MATCH of one pattern. Values are judged after matching, so a rejected match still takes up its text."""
     ok = VALIDATORS[p.validator]
     good = F.filter(find(text, pack.java(p), 1), lambda x: ~is_reference(x.v) & ok(x.v))
     each = F.transform(good, lambda x: F.struct(F.lit(p.cls).alias("type"), F.lit(idx).alias("idx"), x.v.alias("value"), x.s.alias("start"), x.e.alias("end"), F.lit(p.confidence).alias("confidence")))
-    return F.when(text.rlike(p.hint), each).otherwise(none_of(MATCH)) if p.hint else each
+    return F.when(may_match(text, F.lower(text) if low is None else low, p.hint), each).otherwise(none_of(MATCH)) if p.hint else each
 
 
 def ordered(matches: Column) -> Column:
@@ -49,7 +59,7 @@ def drop_overlaps(matches: Column) -> Column:
 
 
 def raw_matches(text: Column, patterns: tuple[pack.Pattern, ...] = pack.PATTERNS) -> Column:
-    found = F.concat(*[pattern_matches(text, i, p) for i, p in enumerate(patterns)])
+    found = let(F.lower(text), lambda low: F.concat(*[pattern_matches(text, i, p, low) for i, p in enumerate(patterns)]))
     return let(found, lambda all_: F.when(F.size(all_) == 0, none_of(MATCH)).otherwise(let(ordered(all_), drop_overlaps)))
 
 
