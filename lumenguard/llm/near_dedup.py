@@ -11,9 +11,11 @@ hashes. Documents whose sets have ``similarity`` percent of their union in commo
    is compared with the ``REACH`` classes before it that share its first value; those with ``LEAST_EQUAL`` equal values of
    the ``DEPTH`` are candidates. A pair at 80 % is missed by one tree with a probability of about 0.5, by all under 1e-6.
 4. Each class confirms its best candidate on the full sets, and components of these links are found. That makes most of a
-   large group of copies one component without looking at its pairs.
-5. Orders are made again of the classes with candidates. Now all candidate pairs in different components are
-   confirmed, however many; pairs within a component could not change it.
+   large group of copies few components without looking at its pairs.
+5. Orders are made again of the classes with candidates, and give all candidate pairs in different components, however many.
+   Of each two components the best pair is confirmed, and the components so joined become one; then all pairs that are
+   left in different ones are confirmed. Pairs within a component could not change it. Links between the same components are
+   one link for the search of larger ones.
 
 Sorts are by range over all trees, so a region of any size is dealt over tasks; only REACH neighbours meet. Each
 confirmed pair brings two texts together, from a table of the texts that have candidates.
@@ -120,7 +122,7 @@ def forest(classes: DataFrame) -> DataFrame:
 
 
 def neighbours(rows: DataFrame, best_only: bool) -> DataFrame:
-    """(a, b, equal) with a < b: candidate pairs of different components; with ``best_only`` one at most for each row."""
+    """(a, b, equal, ca, cb) with a < b: candidate pairs of different components, and those; with ``best_only`` one at most for each row."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last REACH rows, for what follows
@@ -133,7 +135,7 @@ def neighbours(rows: DataFrame, best_only: bool) -> DataFrame:
             key, ids, comp = now if held is None else tuple(np.concatenate(x) for x in zip(held, now, strict=True))
             vals = np.ascontiguousarray(key[:, 1:]).view(np.uint16)
             head = np.ascontiguousarray(key[:, :3])
-            top, other = np.zeros(len(ids), np.int16), np.zeros(len(ids), np.int64)
+            top, other = np.zeros(len(ids), np.int16), np.zeros(len(ids), np.int64)  # best so far, and how far before
             found = []
             for w in range(1, min(REACH, len(ids) - 1) + 1):
                 lo = max(w, old)
@@ -145,19 +147,20 @@ def neighbours(rows: DataFrame, best_only: bool) -> DataFrame:
                 i, equal = i[good], equal[good]
                 if best_only:
                     better = equal > top[i]
-                    top[i[better]], other[i[better]] = equal[better], ids[i[better] - w]
+                    top[i[better]], other[i[better]] = equal[better], w
                 else:
-                    found.append((ids[i], ids[i - w], equal))
+                    found.append((i, i - w, equal))
             if best_only:
                 i = np.flatnonzero(top)
-                found.append((ids[i], other[i], top[i]))
-            held = key[-REACH:], ids[-REACH:], comp[-REACH:]
+                found.append((i, i - other[i], top[i]))
             if found:
-                u, v, equal = (np.concatenate(x) for x in zip(*found, strict=True))
-                pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v), equal.astype(np.int64)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(pairs[2])], ["a", "b", "equal"])
+                i, j, equal = (np.concatenate(x) for x in zip(*found, strict=True))
+                i, j = np.where(ids[i] < ids[j], i, j), np.where(ids[i] < ids[j], j, i)
+                pairs = np.unique(np.stack([ids[i], ids[j], equal.astype(np.int64), comp[i], comp[j]]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], ["a", "b", "equal", "ca", "cb"])
+            held = key[-REACH:], ids[-REACH:], comp[-REACH:]
 
-    return rows.mapInArrow(each, "a long, b long, equal long")
+    return rows.mapInArrow(each, "a long, b long, equal long, ca long, cb long")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
@@ -192,6 +195,12 @@ def confirmed(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     return both.mapInArrow(each, "a long, b long")
 
 
+def relabelled(rows: DataFrame, column: str, groups: DataFrame) -> DataFrame:
+    """``column`` replaced by its component in ``groups``, where it has one."""
+    on = groups.select(F.col("id").alias("_id"), F.col("component").alias("_to"))
+    return rows.join(on, F.col(column) == F.col("_id"), "left").withColumn(column, F.coalesce("_to", column)).drop("_id", "_to")
+
+
 def linked(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs``; doc_id must be whole numbers."""
     sigs = staged(signatures(docs, p), "signatures")
@@ -204,11 +213,18 @@ def linked(docs: DataFrame, p: Params = Params()) -> DataFrame:
     ids = best.select("id")
     texts = staged(docs.join(classes.join(ids, "id", "left_semi").select(F.col("id").alias("doc_id"), "digest"), "doc_id").select(F.col("doc_id").alias("id"), "text").groupBy("id").agg(F.first("text").alias("text")), "texts")
     links = staged(confirmed(tried, texts, p), "confirmed")
-    groups = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    again = classes.join(ids, "id", "left_semi").join(groups, "id", "left").select("id", "sig", F.coalesce("component", "id").alias("component"))
-    rest = neighbours(forest(again), False).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(staged(confirmed(rest, texts, p), "confirmed"))
-    groups = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("id").alias("g_id"), "component")
-    with_class = sigs.join(classes.select("digest", "id"), "digest", "left").join(groups, F.col("id") == F.col("g_id"), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id"))
+    first_groups = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    again = relabelled(classes.join(ids, "id", "left_semi").withColumn("component", F.col("id")), "component", first_groups).select("id", "sig", "component")
+    rest = staged(neighbours(forest(again), False).groupBy("a", "b", "ca", "cb").agg(F.max("equal").alias("equal")).join(tried, ["a", "b"], "left_anti"), "rest")
+    sides = [F.least("ca", "cb").alias("c1"), F.greatest("ca", "cb").alias("c2")]
+    chosen = staged(rest.groupBy(*sides).agg(F.max(F.struct("equal", "a", "b", "ca", "cb")).alias("x")).select("x.a", "x.b", "x.ca", "x.cb"), "chosen")
+    second_groups = components(confirmed(chosen, texts, p).join(chosen, ["a", "b"]).select(F.col("ca").alias("u"), F.col("cb").alias("v")))
+    left = relabelled(relabelled(rest, "ca", second_groups), "cb", second_groups).where("ca <> cb").join(chosen, ["a", "b"], "left_anti")
+    left = staged(left.select("a", "b", "ca", "cb"), "left")
+    third_groups = components(confirmed(left, texts, p).join(left, ["a", "b"]).select(F.col("ca").alias("u"), F.col("cb").alias("v")))
+    component_of = classes.select("digest", "id", F.col("id").alias("component"))
+    for groups in (first_groups, second_groups, third_groups):
+        component_of = relabelled(component_of, "component", groups)
+    with_class = sigs.join(component_of, "digest", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return with_class.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
