@@ -10,12 +10,12 @@ hashes. Documents whose sets have ``similarity`` percent of their union in commo
    stands close in an order shares a long prefix, and the denser a region, the longer: depth adapts by itself. A class
    is compared with the ``REACH`` classes before it that share its first value; those with ``LEAST_EQUAL`` equal values of
    the ``DEPTH`` are candidates. A pair at 80 % is missed by one tree with a probability of about 0.5, by all under 1e-6.
-4. Each class confirms its best candidate on the full sets, and components of these links are found. That makes most of a
-   large group of copies few components without looking at its pairs.
-5. Orders are made again of the classes with candidates, and give all candidate pairs in different components, however many.
-   Of each two components the best pair is confirmed, and the components so joined become one; then all pairs that are
-   left in different ones are confirmed. Pairs within a component could not change it. Links between the same components are
-   one link for the search of larger ones.
+4. Each class confirms up to ``TRIES`` of its candidates on the full sets, the best of each of as many parts of all classes, and
+   components of these links are found. That makes nearly all of a large group of copies one component without looking at its pairs.
+5. Orders are made again of the classes with candidates, now with a byte of each signature value. All candidate pairs in
+   different components with ``LEAST_BRIEF`` equal bytes are confirmed, however many: a pair at 80 % has 102 on average, with a deviation of
+   4.5, so one in a million has fewer. Pairs within a component could not change it. Links between the same components
+   are one link for the second search, which joins components.
 
 Sorts are by range over all trees, so a region of any size is dealt over tasks; only REACH neighbours meet. Each
 confirmed pair brings two texts together, from a table of the texts that have candidates.
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .store import staged
 
-SIGNATURE, TREES, DEPTH, STEP, REACH, LEAST_EQUAL = 128, 24, 16, 5, 32, 8
+SIGNATURE, TREES, DEPTH, STEP, REACH, LEAST_EQUAL, TRIES, LEAST_BRIEF = 128, 24, 16, 5, 32, 8, 6, 80
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 MANY_WORDS = 400_000  # of a worker's word cache, which is emptied then
 _ROLL = np.random.default_rng(9)
@@ -95,7 +95,7 @@ def signature(items: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, p: Params) -> DataFrame:
-    """(doc_id, n_shingles, digest, sig) of every row; the last two are null for empty sets."""
+    """(doc_id, n_shingles, digest, sig, brief) of every row; the last three are null for empty sets. ``brief`` has a byte of each value of ``sig``."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -106,17 +106,19 @@ def signatures(docs: DataFrame, p: Params) -> DataFrame:
                 sizes.append(len(items))
                 digests.append(hashlib.blake2b(items.tobytes(), digest_size=16).digest() if len(items) else None)
                 sigs.append(signature(items) if len(items) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "digest", "sig"])
+            briefs = [None if x is None else x[1::2] for x in sigs]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), *[pa.array(x, pa.binary()) for x in (digests, sigs, briefs)]], ["doc_id", "n_shingles", "digest", "sig", "brief"])
 
-    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, n_shingles long, digest binary, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, n_shingles long, digest binary, sig binary, brief binary")
 
 
 def forest(classes: DataFrame) -> DataFrame:
-    """(key, id, component): one row for each tree and class, in the trees' orders over all partitions."""
+    """(key, id, component, brief if given): one row for each tree and class, in the trees' orders over all partitions."""
     at = lambda t: (STEP * t % SIGNATURE) * 2 + 1
     twice = F.concat("sig", "sig")
     keys = F.array(*[F.concat(F.lit(bytes([t])), F.substring(twice, at(t), 2 * DEPTH)) for t in range(TREES)])
-    rows = classes.select("id", "component", F.explode(keys).alias("key")).select("key", "id", "component")
+    more = [c for c in ("brief",) if c in classes.columns]
+    rows = classes.select("id", "component", *more, F.explode(keys).alias("key")).select("key", "id", "component", *more)
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartitionByRange(parts, "key", "id").sortWithinPartitions("key", "id")
 
@@ -130,9 +132,10 @@ def neighbours(rows: DataFrame, best_only: bool) -> DataFrame:
             if not b.num_rows:
                 continue
             key = np.frombuffer(b"".join(b.column("key").to_pylist()), np.uint8).reshape(b.num_rows, 1 + 2 * DEPTH)
-            now = key, np.asarray(b.column("id")), np.asarray(b.column("component"))
+            brief = np.zeros((b.num_rows, 0), np.uint8) if best_only else np.frombuffer(b"".join(b.column("brief").to_pylist()), np.uint8).reshape(b.num_rows, SIGNATURE)
+            now = key, np.asarray(b.column("id")), np.asarray(b.column("component")), brief
             old = 0 if held is None else len(held[1])
-            key, ids, comp = now if held is None else tuple(np.concatenate(x) for x in zip(held, now, strict=True))
+            key, ids, comp, brief = now if held is None else tuple(np.concatenate(x) for x in zip(held, now, strict=True))
             vals = np.ascontiguousarray(key[:, 1:]).view(np.uint16)
             head = np.ascontiguousarray(key[:, :3])
             top, other = np.zeros(len(ids), np.int16), np.zeros(len(ids), np.int64)  # best so far, and how far before
@@ -149,7 +152,8 @@ def neighbours(rows: DataFrame, best_only: bool) -> DataFrame:
                     better = equal > top[i]
                     top[i[better]], other[i[better]] = equal[better], w
                 else:
-                    found.append((i, i - w, equal))
+                    alike = (brief[i] == brief[i - w]).sum(axis=1) >= LEAST_BRIEF
+                    found.append((i[alike], i[alike] - w, equal[alike]))
             if best_only:
                 i = np.flatnonzero(top)
                 found.append((i, i - other[i], top[i]))
@@ -158,7 +162,7 @@ def neighbours(rows: DataFrame, best_only: bool) -> DataFrame:
                 i, j = np.where(ids[i] < ids[j], i, j), np.where(ids[i] < ids[j], j, i)
                 pairs = np.unique(np.stack([ids[i], ids[j], equal.astype(np.int64), comp[i], comp[j]]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], ["a", "b", "equal", "ca", "cb"])
-            held = key[-REACH:], ids[-REACH:], comp[-REACH:]
+            held = key[-REACH:], ids[-REACH:], comp[-REACH:], brief[-REACH:]
 
     return rows.mapInArrow(each, "a long, b long, equal long, ca long, cb long")
 
@@ -205,25 +209,22 @@ def linked(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs``; doc_id must be whole numbers."""
     sigs = staged(signatures(docs, p), "signatures")
     named = sigs.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
-    classes = staged(named.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "classes")
+    classes = staged(named.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("brief").alias("brief")), "classes")
     first = staged(neighbours(forest(classes.select("id", "sig", F.col("id").alias("component"))), True), "pairs")
     ends = first.select(F.col("a").alias("id"), "b", "equal").unionByName(first.select(F.col("b").alias("id"), F.col("a").alias("b"), "equal"))
-    best = ends.groupBy("id").agg(F.max(F.struct("equal", (-F.col("b")).alias("m"))).alias("x")).select("id", (-F.col("x.m")).alias("other"))
+    part = F.pmod(F.xxhash64("b"), F.lit(TRIES)).alias("part")
+    best = ends.groupBy("id", part).agg(F.max(F.struct("equal", (-F.col("b")).alias("m"))).alias("x")).select("id", (-F.col("x.m")).alias("other"))
     tried = staged(best.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "best")
-    ids = best.select("id")
+    ids = tried.select(F.col("a").alias("id")).unionByName(tried.select(F.col("b").alias("id"))).distinct()
     texts = staged(docs.join(classes.join(ids, "id", "left_semi").select(F.col("id").alias("doc_id"), "digest"), "doc_id").select(F.col("doc_id").alias("id"), "text").groupBy("id").agg(F.first("text").alias("text")), "texts")
     links = staged(confirmed(tried, texts, p), "confirmed")
     first_groups = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    again = relabelled(classes.join(ids, "id", "left_semi").withColumn("component", F.col("id")), "component", first_groups).select("id", "sig", "component")
-    rest = staged(neighbours(forest(again), False).groupBy("a", "b", "ca", "cb").agg(F.max("equal").alias("equal")).join(tried, ["a", "b"], "left_anti"), "rest")
-    sides = [F.least("ca", "cb").alias("c1"), F.greatest("ca", "cb").alias("c2")]
-    chosen = staged(rest.groupBy(*sides).agg(F.max(F.struct("equal", "a", "b", "ca", "cb")).alias("x")).select("x.a", "x.b", "x.ca", "x.cb"), "chosen")
-    second_groups = components(confirmed(chosen, texts, p).join(chosen, ["a", "b"]).select(F.col("ca").alias("u"), F.col("cb").alias("v")))
-    left = relabelled(relabelled(rest, "ca", second_groups), "cb", second_groups).where("ca <> cb").join(chosen, ["a", "b"], "left_anti")
-    left = staged(left.select("a", "b", "ca", "cb"), "left")
-    third_groups = components(confirmed(left, texts, p).join(left, ["a", "b"]).select(F.col("ca").alias("u"), F.col("cb").alias("v")))
+    again = relabelled(classes.join(ids, "id", "left_semi").withColumn("component", F.col("id")), "component", first_groups).select("id", "sig", "brief", "component")
+    rest = staged(neighbours(forest(again), False).select("a", "b", "ca", "cb").distinct().join(tried, ["a", "b"], "left_anti"), "rest")
+    joined = confirmed(rest, texts, p).join(rest, ["a", "b"]).select(F.col("ca").alias("u"), F.col("cb").alias("v"))
+    second_groups = components(joined)
     component_of = classes.select("digest", "id", F.col("id").alias("component"))
-    for groups in (first_groups, second_groups, third_groups):
+    for groups in (first_groups, second_groups):
         component_of = relabelled(component_of, "component", groups)
     with_class = sigs.join(component_of, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
