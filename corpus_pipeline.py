@@ -18,48 +18,48 @@ from lumenguard.llm.store import staged
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: What tells rows of documents apart: the id, and the text for ids that are not unique.
-KEY = ["_id", "_key"]
+KEY = ["__lg_id", "__lg_key"]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"_id": F.col("doc_id"), "_key": F.xxhash64("text")})
+    return docs.withColumns({"__lg_id": F.col("doc_id"), "__lg_key": F.xxhash64("text")})
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose (doc_id, text) is not in ``gone`` (g_id, g_key)."""
-    on = F.col("_id").eqNullSafe(F.col("g_id")) & (F.col("_key") == F.col("g_key"))
+    on = F.col("__lg_id").eqNullSafe(F.col("__lg_gone_id")) & (F.col("__lg_key") == F.col("__lg_gone_key"))
     return keyed(docs).join(gone, on, "left_anti").drop(*KEY)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
     judged = quality_rules.judge(keyed(docs), [*KEY, "lang", "source"])
-    return without(docs, judged.where(~F.col("kept")).select(F.col("_id").alias("g_id"), F.col("_key").alias("g_key")).distinct())
+    return without(docs, judged.where(~F.col("kept")).select(F.col("__lg_id").alias("__lg_gone_id"), F.col("__lg_key").alias("__lg_gone_key")).distinct())
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group stays; of repeats of its row, one."""
     groups = near_dedup.linked(docs)
-    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("g_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("g_id"), "left_anti").dropDuplicates(["doc_id", "text"])
+    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("__lg_gone_id")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("__lg_gone_id"), "left_anti").dropDuplicates(["doc_id", "text"])
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
     found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
-    gone = found.where("contaminated").select(F.col("doc_id").alias("g_id"), F.col("words_key").alias("g_key"))
+    gone = found.where("contaminated").select(F.col("doc_id").alias("__lg_gone_id"), F.col("words_key").alias("__lg_gone_key"))
     words_key = decontamination.words_key(F.col("text"))
-    on = F.col("doc_id").eqNullSafe(F.col("g_id")) & (words_key == F.col("g_key"))
+    on = F.col("doc_id").eqNullSafe(F.col("__lg_gone_id")) & (words_key == F.col("__lg_gone_key"))
     return docs.join(gone, on, "left_anti")
 
 
 def secrets_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Live-looking secrets are masked; widely copied examples stay as they are."""
     found = secret_scan.scan(docs, F.col("source"), F.concat_ws("/", "source", "lang"))
-    live = found.where(F.size("live") > 0).select(F.col("doc_id").alias("g_id"), F.col("text_key").alias("g_key"), F.col("live").alias("_live"))
-    on = F.col("_id").eqNullSafe(F.col("g_id")) & (F.col("_key") == F.col("g_key"))
+    live = found.where(F.size("live") > 0).select(F.col("doc_id").alias("__lg_gone_id"), F.col("text_key").alias("__lg_gone_key"), F.col("live").alias("__lg_live"))
+    on = F.col("__lg_id").eqNullSafe(F.col("__lg_gone_id")) & (F.col("__lg_key") == F.col("__lg_gone_key"))
     both = keyed(docs).join(live, on, "left")
-    text = F.when(F.col("_live").isNull(), F.col("text")).otherwise(secret_scan.masked(F.col("text"), F.col("_live")))
+    text = F.when(F.col("__lg_live").isNull(), F.col("text")).otherwise(secret_scan.masked(F.col("text"), F.col("__lg_live")))
     return both.withColumn("text", text).select(*docs.columns)
 
 

@@ -71,15 +71,15 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the text that stays, and n_lines, n_removed and kept_spans (lines that stay, as (start, end))."""
     own = ["n_lines", "n_removed", "kept_spans"]
     keep = [c for c in docs.columns if c.lower() not in own]
-    gone = removals(docs, min_words).select(F.col("doc_id").alias("_g_id"), F.col("text_key").alias("_g_key"), "starts")
-    keyed = docs.select(*keep).withColumn("_key", F.xxhash64("text"))
-    both = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_g_id")) & (F.col("_key") == F.col("_g_key")), "left").drop("_key", "_g_id", "_g_key")
+    gone = removals(docs, min_words).select(F.col("doc_id").alias("__lg_id"), F.col("text_key").alias("__lg_gone"), F.col("starts").alias("__lg_starts"))
+    keyed = docs.select(*keep).withColumn("__lg_key", F.xxhash64("text"))
+    both = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("__lg_id")) & (F.col("__lg_key") == F.col("__lg_gone")), "left").drop("__lg_key", "__lg_id", "__lg_gone")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for b in batches:
             texts, lines, removed, spans = [], [], [], []
-            for text, starts in zip(b.column("text").to_pylist(), b.column("starts").to_pylist(), strict=True):
+            for text, starts in zip(b.column("text").to_pylist(), b.column("__lg_starts").to_pylist(), strict=True):
                 drop, at, left, kept = set(starts or ()), 0, [], []
                 split = text.split("\n") if text is not None else []
                 for line in split:
