@@ -6,8 +6,11 @@ ascending doc_id. A row is (doc_id, part, local_start, n_tokens, ids). ORC store
 each such group: readers split files by stripe, and a lookup of ids reads only groups that may have them.
 
 Encoding gives the tokenizers library distinct words only: the tokenizer's own splitting drops white space, so a text's ids are
-those of its pieces between spaces, tabs and line ends, one after another. Distinct pieces go to the library parted by a character that is one
-token of its own; pieces with that character in them go alone. Ids of pieces are kept for later texts, up to ``MOST_PIECES``.
+those of its pieces between spaces, tabs and line ends, one after another. Pieces of printable ASCII and Latin-1 letters are split here, by the
+tokenizer's rule, which for them needs no tables of Unicode, and each part goes to the library's BPE model alone. Other distinct pieces go to
+the whole tokenizer, parted by a character that is one token of its own; pieces with that character in them go alone. A worker keeps the
+ids of pieces for later texts and tasks: of twice ``MOST_PIECES`` at most, those used last. A tokenizer of another make than the rule's goes
+without the short way.
 
 Nulls: a null text is empty: it has the end id only. Null ids come first. Rows with equal doc_id follow in no set order
 but by text. An empty table gives no rows. Columns other than doc_id and text don't matter. A document's ids are one row, so a text may be of any
@@ -16,6 +19,9 @@ length that fits a row.
 
 from __future__ import annotations
 
+import json
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -27,8 +33,20 @@ from pyspark.sql import functions as F
 from .store import new_path
 
 STRIPE, ROW_GROUP, BLOOM_FPP = 16 << 20, 1_000, 0.01
-MOST_PIECES, SLICE_CHARS, BLOCK = 500_000, 4_000_000, 1_000
+MOST_PIECES, SLICE_CHARS, BLOCK = 350_000, 4_000_000, 1_000
 MARK = "\x01"
+#: The tokenizer's splitting rule as its file has it, and the same for the lower-case characters of ``PLAIN``.
+RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PLAIN_RULE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_ENCODERS: dict[int, WordEncoder] = {}  # a worker's, by tokenizer
+
+
+def byte_letters() -> dict[int, str]:
+    """Byte-level BPE's letter for each byte: printable ones stand for themselves, the others follow from 256 on."""
+    same = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in same]
+    return {b: chr(b) for b in same} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
 class WordEncoder:
@@ -41,13 +59,34 @@ class WordEncoder:
         mark = self.ids([MARK])[0]
         self.mark = int(np.frombuffer(mark, "<u4")[0]) if len(mark) == 4 else None
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # pieces known but not used since ``known`` was last full
+        self.parts: dict[str, bytes] = {}
+        own = json.loads(tokenizer_json)
+        kinds = [x["type"] for x in (own["normalizer"] or {}).get("normalizers", [])]
+        self.plain = kinds == ["NFC", "Replace", "Lowercase"] and RULE in json.dumps(own["pre_tokenizer"], ensure_ascii=False).replace("\\\\", "\\")
+        self.letters = byte_letters()
+
+    def part_ids(self, part: str) -> bytes:
+        if (found := self.parts.get(part)) is None:
+            if len(self.parts) >= MOST_PIECES:
+                self.parts.clear()
+            word = part if part.isascii() else "".join(self.letters[b] for b in part.encode())
+            ids = [t.id for t in self.tokenizer.model.tokenize(word)]
+            found = self.parts[part] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, pieces: list[str]) -> None:
-        alone = [p for p in pieces if MARK in p or self.mark is None]
-        rest = [p for p in pieces if MARK not in p and self.mark is not None]
+        other = []
+        for p in pieces:
+            if self.plain and "<|" not in p and PLAIN.fullmatch(p):
+                self.known[p] = b"".join(map(self.part_ids, PLAIN_RULE.findall(p.lower())))
+            else:
+                other.append(p)
+        alone = [p for p in other if MARK in p or self.mark is None]
+        rest = [p for p in other if MARK not in p and self.mark is not None]
         self.known.update(zip(alone, self.ids(alone), strict=True))
         for at in range(0, len(rest), BLOCK):
             block = rest[at : at + BLOCK]
@@ -71,20 +110,31 @@ class WordEncoder:
                 at += 1
             fresh = {p for c in cuts for p in c if p not in self.known}
             if len(self.known) + len(fresh) > MOST_PIECES:
-                self.known.clear()
+                self.before, self.known = self.known, {}
                 fresh = {p for c in cuts for p in c}
-            self.learn(list(fresh))
+            again = fresh & self.before.keys()
+            self.known.update((p, self.before[p]) for p in again)
+            self.learn(list(fresh - again))
             out += [b"".join(map(self.known.__getitem__, c)) for c in cuts]
         return out
 
 
+def worker_encoder(tokenizer_json: str) -> WordEncoder:
+    """One for all tasks of a worker process."""
+    key = zlib.crc32(tokenizer_json.encode())
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = WordEncoder(tokenizer_json)
+    return _ENCODERS[key]
+
+
 def write(docs: DataFrame, tokenizer_json: str, end_id: int, path: str, parts: int) -> None:
     """Encode the texts of ``docs`` and write them to ``path`` in ``parts`` files at most, in ascending doc_id."""
     end = np.array([end_id], "<u4").tobytes()
     names = ["doc_id", "part", "local_start", "n_tokens", "ids"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, start = WordEncoder(tokenizer_json), 0
+        encoder, start = worker_encoder(tokenizer_json), 0
         for b in batches:
             for at in range(0, b.num_rows, 500):  # ids of few texts at a time
                 rows = b.slice(at, 500)
