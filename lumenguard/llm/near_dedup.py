@@ -12,13 +12,18 @@ hashes. Documents whose sets have ``similarity`` percent of their union in commo
    the ``DEPTH`` are candidates. A pair at 80 % is missed by one tree with a probability of about 0.5, by all under 1e-6.
 4. Each class confirms up to ``TRIES`` of its candidates on the full sets, the best of each of as many parts of all classes, and
    components of these links are found. That makes nearly all of a large group of copies one component without looking at its pairs.
-5. Orders are made again of the classes with candidates, now with a byte of each signature value. All candidate pairs in
-   different components with ``LEAST_BRIEF`` equal bytes are confirmed, however many: a pair at 80 % has 102 on average, with a deviation of
-   4.5, so one in a million has fewer. Pairs within a component could not change it. Links between the same components
-   are one link for the second search, which joins components.
-
-Sorts are by range over all trees, so a region of any size is dealt over tasks; only REACH neighbours meet. Each
-confirmed pair brings two texts together, from a table of the texts that have candidates.
+5. What the forest's reach hides is found by ``BANDS`` bands of ``BAND`` signature values, over all classes: classes with
+   one band equal are one bucket, and in a bucket all pairs of different components meet, however large it is. A pair at 80 %
+   shares no band with a probability of 5e-8. Pairs whose sizes allow a link and that have ``LEAST_BRIEF`` equal bytes, one byte
+   of each signature value, are candidates: a pair at 80 % has 102 on average, with a deviation of 4.5, so about one in a
+   million has fewer. Pairs within a component could not change it.
+6. Of each two components the most alike candidate pair is confirmed first; then all pairs that are still in different
+   components are, however many. Links between the same components are one link for the searches that join components.
+
+Sorts are by range over all trees, so a region of any size is dealt over tasks; only REACH neighbours meet. Buckets are
+dealt in blocks of about ``BLOCK`` classes, each pair of blocks to a task; buckets of one component are dropped before. The work
+in a bucket grows with the number of its pairs in different components. Each confirmed pair brings two texts together, from a
+table of the texts that have candidates.
 
 Nulls: a null text has no words. A document with a null doc_id is kept and links with nothing; its component is null. doc_id
 is meant to be unique: repeats of a row get its result, and of rows with one doc_id and several texts each is judged by its own
@@ -42,6 +47,7 @@ from .components import components
 from .store import staged
 
 SIGNATURE, TREES, DEPTH, STEP, REACH, LEAST_EQUAL, TRIES, LEAST_BRIEF = 128, 24, 16, 5, 32, 8, 6, 80
+BANDS, BAND, BLOCK = 32, 4, 4096
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 MANY_WORDS = 400_000  # of a worker's word cache, which is emptied then
 _ROLL = np.random.default_rng(9)
@@ -113,56 +119,105 @@ def signatures(docs: DataFrame, p: Params) -> DataFrame:
 
 
 def forest(classes: DataFrame) -> DataFrame:
-    """(key, id, component, brief if given): one row for each tree and class, in the trees' orders over all partitions."""
+    """(key, id): one row for each tree and class, in the trees' orders over all partitions."""
     at = lambda t: (STEP * t % SIGNATURE) * 2 + 1
     twice = F.concat("sig", "sig")
     keys = F.array(*[F.concat(F.lit(bytes([t])), F.substring(twice, at(t), 2 * DEPTH)) for t in range(TREES)])
-    more = [c for c in ("brief",) if c in classes.columns]
-    rows = classes.select("id", "component", *more, F.explode(keys).alias("key")).select("key", "id", "component", *more)
+    rows = classes.select("id", F.explode(keys).alias("key")).select("key", "id")
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartitionByRange(parts, "key", "id").sortWithinPartitions("key", "id")
 
 
-def neighbours(rows: DataFrame, best_only: bool) -> DataFrame:
-    """(a, b, equal, ca, cb) with a < b: candidate pairs of different components, and those; with ``best_only`` one at most for each row."""
+def neighbours(rows: DataFrame) -> DataFrame:
+    """(a, b, equal) with a < b: for each row the best of the candidates before it, if there are any."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last REACH rows, for what follows
         for b in batches:
             if not b.num_rows:
                 continue
-            key = np.frombuffer(b"".join(b.column("key").to_pylist()), np.uint8).reshape(b.num_rows, 1 + 2 * DEPTH)
-            brief = np.zeros((b.num_rows, 0), np.uint8) if best_only else np.frombuffer(b"".join(b.column("brief").to_pylist()), np.uint8).reshape(b.num_rows, SIGNATURE)
-            now = key, np.asarray(b.column("id")), np.asarray(b.column("component")), brief
+            now = np.frombuffer(b"".join(b.column("key").to_pylist()), np.uint8).reshape(b.num_rows, 1 + 2 * DEPTH), np.asarray(b.column("id"))
             old = 0 if held is None else len(held[1])
-            key, ids, comp, brief = now if held is None else tuple(np.concatenate(x) for x in zip(held, now, strict=True))
+            key, ids = now if held is None else tuple(np.concatenate(x) for x in zip(held, now, strict=True))
             vals = np.ascontiguousarray(key[:, 1:]).view(np.uint16)
             head = np.ascontiguousarray(key[:, :3])
             top, other = np.zeros(len(ids), np.int16), np.zeros(len(ids), np.int64)  # best so far, and how far before
-            found = []
             for w in range(1, min(REACH, len(ids) - 1) + 1):
                 lo = max(w, old)
-                i = np.flatnonzero((head[lo:] == head[lo - w : len(ids) - w]).all(axis=1) & (comp[lo:] != comp[lo - w : len(ids) - w])) + lo
-                if not len(i):
-                    continue
+                i = np.flatnonzero((head[lo:] == head[lo - w : len(ids) - w]).all(axis=1)) + lo
                 equal = (vals[i] == vals[i - w]).sum(axis=1).astype(np.int16)
-                good = equal >= LEAST_EQUAL
-                i, equal = i[good], equal[good]
-                if best_only:
-                    better = equal > top[i]
-                    top[i[better]], other[i[better]] = equal[better], w
-                else:
-                    alike = (brief[i] == brief[i - w]).sum(axis=1) >= LEAST_BRIEF
-                    found.append((i[alike], i[alike] - w, equal[alike]))
-            if best_only:
-                i = np.flatnonzero(top)
-                found.append((i, i - other[i], top[i]))
-            if found:
-                i, j, equal = (np.concatenate(x) for x in zip(*found, strict=True))
-                i, j = np.where(ids[i] < ids[j], i, j), np.where(ids[i] < ids[j], j, i)
-                pairs = np.unique(np.stack([ids[i], ids[j], equal.astype(np.int64), comp[i], comp[j]]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], ["a", "b", "equal", "ca", "cb"])
-            held = key[-REACH:], ids[-REACH:], comp[-REACH:], brief[-REACH:]
+                better = (equal >= LEAST_EQUAL) & (equal > top[i])
+                top[i[better]], other[i[better]] = equal[better], w
+            i = np.flatnonzero(top)
+            j = i - other[i]
+            pairs = np.unique(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), top[i].astype(np.int64)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], ["a", "b", "equal"])
+            held = key[-REACH:], ids[-REACH:]
+
+    return rows.mapInArrow(each, "a long, b long, equal long")
+
+
+def buckets(classes: DataFrame) -> DataFrame:
+    """(bucket, i, j, own, id, component, n_shingles, brief) of ``classes`` in buckets of several components, by (bucket, i, j).
+
+    A bucket is dealt in blocks; ``own`` is the row's block, and i <= j are two blocks that meet, own being one of them."""
+    keys = F.array(*[F.xxhash64(F.lit(t), F.substring("sig", 2 * BAND * t + 1, 2 * BAND)) for t in range(BANDS)])
+    rows = classes.select("id", "component", F.explode(keys).alias("bucket"))
+    mixed_up = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    some = rows.join(mixed_up.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    met = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))).alias("m")
+    dealt = some.join(classes.select("id", "n_shingles", "brief"), "id").select("bucket", met, "own", "id", "component", "n_shingles", "brief").select("bucket", "m.i", "m.j", "own", "id", "component", "n_shingles", "brief")
+    return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+
+def candidates(rows: DataFrame, p: Params) -> DataFrame:
+    """(a, b, equal, ca, cb) with a < b: all pairs of ``buckets`` in different components that may be linked by sizes and briefs."""
+    similarity = p.similarity
+
+    def pairs(place: np.ndarray, own: np.ndarray, ids: np.ndarray, comp: np.ndarray, sizes: np.ndarray, brief: np.ndarray) -> Iterator[pa.RecordBatch]:
+        start = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]).any(axis=1)])
+        rank = np.arange(len(ids)) - np.repeat(start, np.diff(np.r_[start, len(ids)]))
+        meets = (place[:, 1] == place[:, 2])  # blocks i and j are one: all its pairs meet; otherwise those across
+        at, found, held = np.arange(len(ids)), [], 0
+        for w in range(1, len(ids)):
+            at = at[rank[at] >= w]
+            if not len(at):
+                break
+            i, j = at, at - w
+            k = (comp[i] != comp[j]) & (meets[i] | (own[i] != own[j])) & (100 * np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j]))
+            i, j = i[k], j[k]
+            if len(i):
+                equal = (brief[i] == brief[j]).sum(axis=1)
+                alike = equal >= LEAST_BRIEF
+                found.append((i[alike], j[alike], equal[alike]))
+                held += len(found[-1][0])
+            if held > 200_000:
+                yield batch(found, ids, comp)
+                found, held = [], 0
+        if held:
+            yield batch(found, ids, comp)
+
+    def batch(found: list, ids: np.ndarray, comp: np.ndarray) -> pa.RecordBatch:
+        i, j, equal = (np.concatenate(x) for x in zip(*found, strict=True))
+        i, j = np.where(ids[i] < ids[j], i, j), np.where(ids[i] < ids[j], j, i)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[i], ids[j], equal.astype(np.int64), comp[i], comp[j])], ["a", "b", "equal", "ca", "cb"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []  # what came of the last (bucket, i, j), which may go on
+        for b in batches:
+            if not b.num_rows:
+                continue
+            place = np.stack([np.asarray(b.column(c)).astype(np.int64) for c in ("bucket", "i", "j")], axis=1)
+            now = place, *[np.asarray(b.column(c)).astype(np.int64) for c in ("own", "id", "component", "n_shingles")], np.frombuffer(b"".join(b.column("brief").to_pylist()), np.uint8).reshape(b.num_rows, SIGNATURE)
+            differs = np.flatnonzero((place != place[-1]).any(axis=1))
+            last = differs[-1] + 1 if len(differs) else 0  # where the last one starts
+            if last or (held and (held[-1][0][-1] != place[0]).any()):
+                done = [*held, tuple(x[:last] for x in now)]
+                yield from pairs(*[np.concatenate(x) for x in zip(*done, strict=True)])
+                held = []
+            held.append(tuple(x[last:] for x in now))
+        if held:
+            yield from pairs(*[np.concatenate(x) for x in zip(*held, strict=True)])
 
     return rows.mapInArrow(each, "a long, b long, equal long, ca long, cb long")
 
@@ -205,27 +260,41 @@ def relabelled(rows: DataFrame, column: str, groups: DataFrame) -> DataFrame:
     return rows.join(on, F.col(column) == F.col("_id"), "left").withColumn(column, F.coalesce("_to", column)).drop("_id", "_to")
 
 
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the documents in ``ids`` (id)."""
+    return staged(docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text").groupBy("id").agg(F.first("text").alias("text")), "texts")
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+
+
 def linked(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs``; doc_id must be whole numbers."""
     sigs = staged(signatures(docs, p), "signatures")
     named = sigs.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
-    classes = staged(named.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("brief").alias("brief")), "classes")
-    first = staged(neighbours(forest(classes.select("id", "sig", F.col("id").alias("component"))), True), "pairs")
+    classes = staged(named.groupBy("digest").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("sig", "brief", "n_shingles")]), "classes")
+    first = staged(neighbours(forest(classes.select("id", "sig"))), "pairs")
     ends = first.select(F.col("a").alias("id"), "b", "equal").unionByName(first.select(F.col("b").alias("id"), F.col("a").alias("b"), "equal"))
     part = F.pmod(F.xxhash64("b"), F.lit(TRIES)).alias("part")
     best = ends.groupBy("id", part).agg(F.max(F.struct("equal", (-F.col("b")).alias("m"))).alias("x")).select("id", (-F.col("x.m")).alias("other"))
     tried = staged(best.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "best")
-    ids = tried.select(F.col("a").alias("id")).unionByName(tried.select(F.col("b").alias("id"))).distinct()
-    texts = staged(docs.join(classes.join(ids, "id", "left_semi").select(F.col("id").alias("doc_id"), "digest"), "doc_id").select(F.col("doc_id").alias("id"), "text").groupBy("id").agg(F.first("text").alias("text")), "texts")
-    links = staged(confirmed(tried, texts, p), "confirmed")
-    first_groups = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    again = relabelled(classes.join(ids, "id", "left_semi").withColumn("component", F.col("id")), "component", first_groups).select("id", "sig", "brief", "component")
-    rest = staged(neighbours(forest(again), False).select("a", "b", "ca", "cb").distinct().join(tried, ["a", "b"], "left_anti"), "rest")
-    joined = confirmed(rest, texts, p).join(rest, ["a", "b"]).select(F.col("ca").alias("u"), F.col("cb").alias("v"))
-    second_groups = components(joined)
+    links = staged(confirmed(tried, texts_of(docs, ends_of(tried)), p), "confirmed")
+    all_groups = [components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))]
+    again = staged(relabelled(classes.withColumn("component", F.col("id")), "component", all_groups[0]), "again")
+    rest = staged(candidates(buckets(again), p).distinct().join(tried, ["a", "b"], "left_anti"), "rest")
+    texts = texts_of(docs, ends_of(rest))
+    least, most = F.least("ca", "cb").alias("u"), F.greatest("ca", "cb").alias("v")
+    top = staged(rest.groupBy(least, most).agg(F.max(F.struct("equal", "a", "b")).alias("x")).select("u", "v", "x.a", "x.b"), "top")
+    all_groups.append(components(staged(confirmed(top, texts, p), "confirmed").join(top, ["a", "b"]).select("u", "v")))
+    left = rest.join(top, ["a", "b"], "left_anti").select("a", "b", "ca", "cb")
+    for end in ("ca", "cb"):
+        left = relabelled(left, end, all_groups[1])
+    left = staged(left.where("ca <> cb"), "left")
+    all_groups.append(components(staged(confirmed(left, texts, p), "confirmed").join(left, ["a", "b"]).select(F.col("ca").alias("u"), F.col("cb").alias("v"))))
     component_of = classes.select("digest", "id", F.col("id").alias("component"))
-    for groups in (first_groups, second_groups):
+    for groups in all_groups:
         component_of = relabelled(component_of, "component", groups)
-    with_class = sigs.join(component_of, "digest", "left")
+    with_class = sigs.select("doc_id", "n_shingles", "digest").join(component_of, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return with_class.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -152,6 +152,27 @@ def test_near_dedup(documents, prose):
     assert near_dedup.linked(documents([])).count() == 0
 
 
+def test_near_dedup_of_large_groups(documents):
+    """Links to one member of hundreds of distinct near copies, among other texts of its neighbourhood."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(200)]
+
+    def changed(words, n, tag):
+        own = list(words)
+        for i in rng.sample(range(len(own)), n):
+            own[i] = f"{tag}_{i}"
+        return own
+
+    sets = [(1000 + k, changed(base, 8, f"copy{k}")) for k in range(600)] + [(5000, base)]
+    sets += [(10 + k, changed(base, 22, f"outer{k}")) for k in range(40)]  # 80.2 % to the original, less to its copies
+    sets += [(6000 + k, changed(base, 60, f"templ{k}")) for k in range(300)]  # of one template, linked with nothing
+    rng.shuffle(sets)
+    want = brute_components([(i, frozenset(w)) for i, w in sets])
+    assert len({want[10 + k] for k in range(40)}) == 1
+    got = {r.doc_id: r.component_id for r in near_dedup.linked(documents([(i, " ".join(w)) for i, w in sets]), near_dedup.Params(width=1)).collect()}
+    assert got == want
+
+
 def test_components(spark):
     rng = random.Random(2)
     chain = [(i, i + 1) for i in range(60)]
