@@ -1,13 +1,14 @@
-"""URL filters: given rules first, then association rules that FP-growth mines from labelled pages.
+"""URL filters: given rules first, then association rules that pattern growth mines from labelled pages.
 
 A URL is a set of tokens: ``host:`` and each label of its host, ``path:`` and each segment of its path, ``query:`` and each
-name in its query. Pages with a label are transactions of their tokens; those labelled bad have one more item. FP-growth
-finds the item sets of ``min_support`` of the pages or more (``min_count`` at least); a set with the bad item is a rule
-whose condition is the rest, and it stays where ``min_confidence`` percent of the pages with that condition are bad, or
-more, unless a rule with part of its condition is no less sure. A transaction has at most ``max_items`` tokens, its rarest
-frequent ones, and a condition at most ``max_condition``: both are parameters of the model, which is fitted on labelled
-rows only. Judging has no such limits: a URL meets a rule if it has all its tokens. For that, each rule is listed in an
-inverted index under its rarest token, the tokens of all URLs are looked up there, and what is found is compared in full.
+name in its query. Pages with a label are transactions of all their tokens. A condition is a set of at most ``max_condition``
+tokens that ``min_support`` of the labelled pages or more (``min_count`` at least) have and are bad. Conditions grow as in
+FP-growth, in a fixed order over the pages that have what is found so far, each with its later tokens; as growth ends with
+``max_condition`` tokens, the number of sets of a long URL is a power of its length and not exponential, and no
+token has to be left out. All counts are over all labelled pages. A condition is a rule where ``min_confidence`` percent of the
+pages with it are bad, or more, unless a rule with part of it is no less sure. A URL meets a rule if it has all its tokens.
+For that, each rule is listed in an inverted index under its rarest token, the tokens of all URLs are looked up there, and what
+is found is compared in full.
 
 Equal URLs are judged once. Nulls: a null URL has an empty host and path, no tokens, and is allowed; a null or other label
 than 0 and 1 counts as 0. A page with several labels is bad if one of them is. No labels, or no pages: no rules. Repeated rows
@@ -17,16 +18,14 @@ are each returned. Other columns don't matter.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import staged, staged_bytes
 from .text import lower_az
 
-BAD = "label:bad"
-
 
 @dataclass(frozen=True)
 class HostRule:
@@ -41,7 +40,6 @@ class Params:
     min_count: int = 20
     min_support_pm: int = 2  # of the labelled pages, per thousand
     min_confidence: int = 60
-    max_items: int = 10
     max_condition: int = 3
     broadcast_bytes: int = 8 << 20
 
@@ -77,13 +75,24 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.coalesce(F.array_distinct(each), F.array().cast("array<string>"))
 
 
-def transactions(labelled: DataFrame, p: Params, least: int) -> DataFrame:
-    """(items) of the pages in ``labelled`` (page_id, toks, bad)."""
+def transactions(labelled: DataFrame, least: int) -> DataFrame:
+    """(bad, items) of the pages in ``labelled`` (page_id, toks, bad): all tokens that enough bad pages have, in order."""
     rows = labelled.select("page_id", "bad", F.explode("toks").alias("tok"))
-    frequent = rows.groupBy("tok").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    known = rows.join(frequent, "tok").groupBy("page_id", "bad").agg(F.sort_array(F.collect_list(F.struct("n", "tok"))).alias("x"))
-    first = F.transform(F.slice("x", 1, p.max_items), lambda x: x.tok)
-    return known.select(F.when(F.col("bad"), F.concat(first, F.array(F.lit(BAD)))).otherwise(first).alias("items"))
+    frequent = rows.where("bad").groupBy("tok").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return rows.join(frequent, "tok").groupBy("page_id", "bad").agg(F.array_sort(F.collect_set("tok")).alias("items")).select("bad", "items")
+
+
+def conditions(rows: DataFrame, most: int, least: int) -> DataFrame:
+    """(toks, n, n_bad): sets of up to ``most`` tokens that ``least`` bad pages have, counted over all ``rows`` (bad, items)."""
+    ahead = rows.select("bad", F.array().cast("array<string>").alias("toks"), F.col("items").alias("later"))
+    levels = []
+    for size in range(1, most + 1):
+        grown = ahead.select("bad", "toks", "later", F.posexplode("later").alias("at", "tok"))
+        grown = grown.select("bad", F.concat("toks", F.array("tok")).alias("toks"), F.slice("later", F.col("at") + 2, F.greatest(F.size("later"), F.lit(1))).alias("later"))
+        counts = grown.groupBy("toks").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("n_bad"))
+        levels.append(staged(counts.where(F.col("n_bad") >= least), f"conditions-{size}"))
+        ahead = grown.where(F.size("later") > 0).join(levels[-1].select("toks"), "toks", "left_semi")
+    return reduce(DataFrame.unionByName, levels)
 
 
 def mine(labelled: DataFrame, p: Params) -> DataFrame:
@@ -94,16 +103,8 @@ def mine(labelled: DataFrame, p: Params) -> DataFrame:
     empty = spark.createDataFrame([], "rule_id long, toks array<string>, n long, n_bad long")
     if pages < least:
         return empty
-    rows = staged(transactions(labelled, p, least), "transactions")
-    n = rows.count()
-    if n < least:
-        return empty
-    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n, numPartitions=max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))).fit(rows)
-    sets = model.freqItemsets.where(F.size("items") <= p.max_condition + 1)
-    rest = F.array_sort(F.array_remove("items", BAD))
-    bad = sets.where(F.array_contains("items", BAD) & (F.size("items") > 1)).select(rest.alias("toks"), F.col("freq").alias("n_bad"))
-    every = sets.where(~F.array_contains("items", BAD)).select(F.array_sort("items").alias("toks"), F.col("freq").alias("n"))
-    sure = staged(every.join(bad, "toks").where(F.col("n_bad") * 100 >= F.col("n") * p.min_confidence), "rules")
+    found = conditions(staged(transactions(labelled, least), "transactions"), p.max_condition, least)
+    sure = staged(found.where(F.col("n_bad") * 100 >= F.col("n") * p.min_confidence), "rules")
     parts = sure.select(F.col("toks").alias("p_toks"), F.col("n").alias("p_n"), F.col("n_bad").alias("p_bad"))
     # a condition has at most 2 ** max_condition parts: list them and look them up
     subsets = F.aggregate("toks", F.array(F.array().cast("array<string>")), lambda acc, t: F.concat(acc, F.transform(acc, lambda s: F.concat(s, F.array(t)))))

@@ -1,6 +1,7 @@
 """URL filters, quality rules, decontamination and secret scans against brute force on small tables with odd rows."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -125,6 +126,18 @@ def test_url_rules_and_mining(spark):
     assert url_filter.judge(df.limit(0), lab, RULES).count() == 0
 
 
+def test_url_mining_of_long_urls(spark):
+    """The commonest tokens of URLs with many frequent ones make rules, too."""
+    rng = random.Random(4)
+    pool = [f"p{i}" for i in range(48)]
+    bad = lambda i: i < 150
+    pages = [(i, f"http://{'hot.org' if bad(i) else f'g{i}.net'}/{'/'.join(rng.sample(pool, 12))}") for i in range(400)]
+    df = spark.createDataFrame(pages, "page_id long, url string")
+    lab = spark.createDataFrame([(i, bad(i)) for i in range(400)], "page_id long, bad boolean")
+    got = {r.page_id: (r.mined_rule, r.verdict) for r in url_filter.judge(df, lab, RULES).collect()}
+    assert all(got[i] == (("host:org", "block") if bad(i) else (None, "allow")) for i in range(400))
+
+
 def test_words_key_tells_texts_apart(documents):
     keys = {r.k for r in documents([(1, "a b"), (1, "A, b"), (2, "ab")]).select(decontamination.words_key(F.col("text")).alias("k")).collect()}
     assert keys == {hashlib.sha256(x.encode()).hexdigest() for x in ("a b", "ab")}
