@@ -1,9 +1,11 @@
 """Substring dedup by line hashing.
 
 Lines of ``min_words`` words or more are units: A-Z in lower case, words with one space between, hashed to 128 bits. Of all
-units with one hash the earliest by (doc_id, position) stays and the rest go, in whatever documents they are; shorter lines
-always stay, since headings and notices repeat without harm. What stays keeps its order, and its spans in the original text
-are returned with it (code points, ends exclusive).
+units with one hash the earliest by (doc_id, position) stays and the rest go, in whatever documents they are. Shorter lines
+are units together with their neighbours: in each run of consecutive shorter lines (empty ones too) the least run of lines with
+``min_words`` words, from each line on and up to each line, so that verse, lists and wrapped text go as long lines do. Such a
+unit stays where it overlaps the earliest one. Headings with no such repeated neighbours stay. What stays keeps its order,
+and its spans in the original text are returned with it (code points, ends exclusive).
 
 Hashes are counted first, in each task before the shuffle, so a line in a third of all documents is a few rows; its
 occurrences are joined with one row, where Spark splits the larger side. Texts move once, by document, and only hashes
@@ -28,50 +30,94 @@ from .store import staged
 
 MIN_WORDS = 20
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-UNITS = "doc_id {id}, text_key long, start long, unit binary"
-
-
-def unit_hash(line: str, min_words: int) -> bytes | None:
-    """None for a line of fewer words."""
-    words = line.encode("utf-8", "surrogatepass").translate(LOWER).split()
-    return hashlib.blake2b(b" ".join(words), digest_size=16).digest() if len(words) >= min_words else None
+UNITS = "doc_id {id}, text_key long, start long, end long, unit binary"
+
+
+def unit_hash(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def short_units(lines: list[tuple[int, int, list[bytes]]], min_words: int) -> set[tuple[int, int]]:
+    """(first, last) of the units in a run of ``lines`` (start, end, words) that are all shorter."""
+    some = [i for i, x in enumerate(lines) if x[2]]
+    found, first, n = set(), 0, 0
+    for last in some:  # up to each line
+        n += len(lines[last][2])
+        while n - len(lines[some[first]][2]) >= min_words:
+            n -= len(lines[some[first]][2])
+            first += 1
+        if n >= min_words:
+            found.add((some[first], last))
+    k, n = 0, 0  # from each line on: lines first to k - 1 have n words
+    for first in some:
+        while k < len(some) and n < min_words:
+            n += len(lines[some[k]][2])
+            k += 1
+        if n < min_words:
+            break
+        found.add((first, some[k - 1]))
+        n -= len(lines[first][2])
+    return found
+
+
+def text_units(text: str, min_words: int) -> Iterator[tuple[int, int, bytes]]:
+    """(start, end, hash) of every unit."""
+    start, run = 0, []
+
+    def of_run() -> Iterator[tuple[int, int, bytes]]:
+        if sum(len(x[2]) for x in run) >= min_words:
+            for first, last in sorted(short_units(run, min_words)):
+                yield run[first][0], run[last][1], unit_hash([w for x in run[first : last + 1] for w in x[2]])
+
+    for line in text.split("\n"):
+        words = line.encode("utf-8", "surrogatepass").translate(LOWER).split()
+        end = start + len(line)
+        if len(words) >= min_words:
+            yield from of_run()
+            run = []
+            yield start, end, unit_hash(words)
+        else:
+            run.append((start, end, words))
+        start = end + 1
+    yield from of_run()
 
 
 def units(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, text_key, start, unit): every unit of every text."""
+    """(doc_id, text_key, start, end, unit): every unit of every text."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, starts, found = [], [], []
+            at, starts, ends, found = [], [], [], []
             for row, text in enumerate(b.column("text").to_pylist()):
-                start = 0
-                for line in (text or "").split("\n"):
-                    if unit := unit_hash(line, min_words):
-                        at.append(row)
-                        starts.append(start)
-                        found.append(unit)
-                    start += len(line) + 1
+                for start, end, unit in text_units(text or "", min_words):
+                    at.append(row)
+                    starts.append(start)
+                    ends.append(end)
+                    found.append(unit)
             rows = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(rows), b.column("text_key").take(rows), pa.array(starts, pa.int64()), pa.array(found, pa.binary())], ["doc_id", "text_key", "start", "unit"])
+            columns = [b.column("doc_id").take(rows), b.column("text_key").take(rows), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(found, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "start", "end", "unit"])
 
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     return keyed.mapInArrow(each, UNITS.format(id=docs.schema["doc_id"].dataType.simpleString()))
 
 
 def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, text_key, starts): where the lines that go start, of documents that have such lines."""
+    """(doc_id, text_key, gone): the spans whose lines go, of documents that have such lines."""
     rows = staged(units(docs, min_words), "units")
-    place = F.struct("doc_id", "start", "text_key")
+    place = F.struct("doc_id", "start", "text_key", "end")
     first = rows.groupBy("unit").agg(F.min(place).alias("f"), F.max(place).alias("l")).where(~F.col("f").eqNullSafe(F.col("l")))
     later = rows.join(first.select("unit", "f"), "unit").where(~place.eqNullSafe(F.col("f")))
-    return later.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("start")).alias("starts"))
+    own = F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("text_key") == F.col("f.text_key"))
+    later = later.where(~(own & (F.col("start") < F.col("f.end"))))
+    return later.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("gone"))
 
 
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the text that stays, and n_lines, n_removed and kept_spans (lines that stay, as (start, end))."""
     own = ["n_lines", "n_removed", "kept_spans"]
     keep = [c for c in docs.columns if c.lower() not in own]
-    gone = removals(docs, min_words).select(F.col("doc_id").alias("__lg_id"), F.col("text_key").alias("__lg_gone"), F.col("starts").alias("__lg_starts"))
+    gone = removals(docs, min_words).select(F.col("doc_id").alias("__lg_id"), F.col("text_key").alias("__lg_gone"), F.col("gone").alias("__lg_spans"))
     keyed = docs.select(*keep).withColumn("__lg_key", F.xxhash64("text"))
     both = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("__lg_id")) & (F.col("__lg_key") == F.col("__lg_gone")), "left").drop("__lg_key", "__lg_id", "__lg_gone")
 
@@ -79,11 +125,15 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for b in batches:
             texts, lines, removed, spans = [], [], [], []
-            for text, starts in zip(b.column("text").to_pylist(), b.column("__lg_starts").to_pylist(), strict=True):
-                drop, at, left, kept = set(starts or ()), 0, [], []
+            for text, gone in zip(b.column("text").to_pylist(), b.column("__lg_spans").to_pylist(), strict=True):
+                at, left, kept, ahead, until = 0, [], [], gone or [], 0
+                k = 0
                 split = text.split("\n") if text is not None else []
                 for line in split:
-                    if at not in drop:
+                    while k < len(ahead) and ahead[k]["start"] <= at:
+                        until = max(until, ahead[k]["end"])
+                        k += 1
+                    if at >= until:
                         left.append(line)
                         kept.append({"start": at, "end": at + len(line)})
                     at += len(line) + 1

@@ -202,3 +202,21 @@ def test_line_dedup(documents, prose):
         source = [t for i, t, *_ in rows if i == r.doc_id and t is not None]
         assert not source or any("\n".join(t[s.start : s.end] for s in r.kept_spans) == (r.text or "") for t in source)
     assert line_dedup.deduplicated(documents([])).count() == 0
+
+
+def test_line_dedup_of_short_lines(documents, prose):
+    """Passages of short lines go wherever they repeat, but for short headings; the first copy stays whole."""
+    words = prose(21, 63).split()
+    verse = "\n".join(" ".join(words[i : i + 7]) for i in range(0, 63, 7))
+    stanzas = verse.replace("\n", "\n\n", 2)
+    lone = prose(22, 22).split()
+    uneven = "\n".join([" ".join(lone[:19]), *lone[19:]])
+    rows = [(1, f"Heading\n{verse}\nend one"), (2, f"Heading\nother start\n{verse.upper()}\nend two"), (3, verse), (4, f"Heading\n{prose(5, 30)}\nend one"), (5, uneven + "\n" + prose(6, 22)), (6, uneven), (7, "la la\n" * 30), (8, stanzas)]
+    got = {r.doc_id: r for r in line_dedup.deduplicated(documents(rows)).collect()}
+    text = dict(rows)
+    assert [got[i].text for i in (1, 4, 5)] == [text[i] for i in (1, 4, 5)]
+    assert (got[2].text, got[2].n_removed) == ("Heading\nother start\nend two", 9)
+    assert got[3].text == got[6].text == got[8].text == "" and got[3].n_removed == 9
+    assert got[7].text == "la la\n" * 10
+    for i, r in got.items():
+        assert "\n".join(text[i][s.start : s.end] for s in r.kept_spans) == r.text
