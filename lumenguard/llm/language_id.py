@@ -191,6 +191,12 @@ class Scorer:
         return out
 
 
+def in_pieces(word: Column) -> Column:
+    """The word in pieces of LONG_WORD characters at most, as ``Scorer`` has them."""
+    starts = F.sequence(F.lit(1), F.length(word), F.lit(LONG_WORD))
+    return F.when(F.length(word) <= LONG_WORD, F.array(word)).otherwise(F.transform(starts, lambda k: F.substr(word, k, F.lit(LONG_WORD))))
+
+
 def train(rows: DataFrame) -> Models | None:
     """From rows (doc_id, text, lang) that may be learned from."""
     named = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
@@ -205,8 +211,8 @@ def train(rows: DataFrame) -> Models | None:
         take |= (F.col("lang") == lang) & (chance < -(-1_000_000 * bound // sizes[lang]))
     held = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(1)), F.lit(10)) == 0
     sample = staged(named.where(take).select("text", "lang", held.alias("held")), "languages")
-    word = F.explode(words(F.lower("text")))
-    counted = sample.where(~F.col("held")).select("lang", word.alias("w")).where(F.length("w") <= LONG_WORD).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    word = F.explode(F.flatten(F.transform(words(F.lower("text")), in_pieces)))
+    counted = sample.where(~F.col("held")).select("lang", word.alias("w")).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")).toArrow()
     by_lang: dict[str, tuple[list[str], list[int]]] = {x: ([], []) for x in langs}
     for lang, w, n in zip(*[counted.column(c).to_pylist() for c in ("lang", "w", "n")], strict=True):
         by_lang[lang][0].append(w)

@@ -79,6 +79,16 @@ def test_language_models(documents):
     assert {r.lang_pred for r in language_id.predict(df, None, ["doc_id"]).collect()} == {"und"}
 
 
+def test_language_of_long_words(documents):
+    """A language without spaces is learned."""
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choice("あいうえおかきくけこ" if i % 2 else "さしすせそたちつてと") for _ in range(150)), (("xx", "yy")[i % 2], "s")) for i in range(80)]
+    df = documents(rows)
+    models = language_id.train(df)
+    assert models is not None and models.langs == ["xx", "yy"]
+    assert {r.doc_id: r.lang_pred for r in language_id.predict(df, models, ["doc_id"]).collect()} == {i: x for i, _, (x, _) in rows}
+
+
 def test_warc(spark):
     rows = [(i, f"http://h{i % 3}.org/p", f"<p>{i % 4}</p>") for i in range(30)]
     rows += [(50, None, None), (51, "http://x y\n/é", ""), (52, "no scheme", "é" * 50_000), (None, "http://n.org", "<p>0</p>")]
