@@ -90,9 +90,10 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What goes of each text, as spans, and the text that stays."""
     found = line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    spans = F.array_join(F.transform("kept_spans", lambda x: F.concat_ws(":", x.start, x.end)), ",")
-    return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"), F.sha2(spans, 256).alias("spans_sha256"))
+    spans = F.array_join(F.transform("removed_spans", lambda x: F.concat_ws(":", x.start, x.end)), ",")
+    return found.select("doc_id", "n_lines", "n_words", "n_removed", "n_removed_words", spans.alias("removed_spans"), (F.col("n_removed_words") == 0).alias("untouched"), "text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -1,6 +1,6 @@
 """The queries' answers in DuckDB's SQL, written apart from the operators."""
 
-from .line_dedup import MIN_WORDS
+from .line_dedup import LONG, MIN_WORDS, STEP
 from .quality_rules import RULES, Params
 from .secret_scan import EXAMPLE_OWNERS
 from .secret_scan import KINDS as SECRETS
@@ -101,14 +101,34 @@ FROM d LEFT JOIN a USING (rid)
 """
 
 SUBSTRING_DEDUP = rf"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
-l AS (SELECT rid, doc_id, i, ls[i] AS line, coalesce(list_sum(list_transform(ls[1:i - 1], lambda x: length(x) + 1)), 0)::BIGINT AS s FROM (SELECT rid, doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
-w AS (SELECT *, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM l),
-r AS (SELECT *, len(ws) >= {MIN_WORDS} AND row_number() OVER (PARTITION BY array_to_string(ws, ' '), len(ws) >= {MIN_WORDS} ORDER BY doc_id, s) > 1 AS gone FROM w),
-a AS (SELECT rid, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY s) FILTER (WHERE NOT gone), '') AS kept,
-  coalesce(string_agg(s || ':' || (s + length(line)), ',' ORDER BY s) FILTER (WHERE NOT gone), '') AS spans FROM r GROUP BY rid)
-SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN text IS NOT NULL THEN sha256(kept) END AS text_sha256, sha256(coalesce(spans, '')) AS spans_sha256
-FROM d LEFT JOIN a USING (rid)
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, coalesce(text, '') AS t FROM documents),
+g AS (SELECT rid, doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, string_split_regex(t, '[^\x20\x09-\x0D]+') AS gaps FROM d),
+w0 AS (SELECT rid, doc_id, len(ws) AS n, unnest(range(1, len(ws) + 1)) AS k, unnest(ws) AS w, unnest(gaps[1:len(ws)]) AS gap, unnest(gaps[2:]) AS after FROM g WHERE len(ws) > 0),
+w1 AS (SELECT *, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lw, sum(length(gap) + length(w)) OVER o AS e, k = n OR contains(after, chr(10)) AS line_end,
+  k = n OR contains(after, chr(10)) OR regexp_matches(w, '[.!?]$') AS closes, coalesce(sum((contains(gap, chr(10)))::INT) OVER o, 0) AS line FROM w0 WINDOW o AS (PARTITION BY rid ORDER BY k)),
+w2 AS (SELECT *, e - length(w) AS s, coalesce(sum(closes::INT) OVER (PARTITION BY rid ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS piece FROM w1),
+w3 AS (SELECT *, closes OR (count(*) OVER (PARTITION BY rid, piece) > {LONG} AND strlen(w) % {STEP} = 0) AS cut FROM w2),
+w4 AS (SELECT *, coalesce(lag(cut) OVER (PARTITION BY rid ORDER BY k), TRUE) AS starts FROM w3),
+w5 AS (SELECT *, min(CASE WHEN cut THEN k END) OVER (PARTITION BY rid ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next_cut, max(CASE WHEN starts THEN k END) OVER (PARTITION BY rid ORDER BY k) AS last_start FROM w4),
+u0 AS (SELECT a.rid, a.k AS f, b.next_cut AS l FROM w5 a JOIN w5 b ON a.rid = b.rid AND b.k = a.k + {MIN_WORDS - 1} WHERE a.starts
+  UNION SELECT a.rid, b.last_start, a.k FROM w5 a JOIN w5 b ON a.rid = b.rid AND b.k = a.k - {MIN_WORDS - 1} WHERE a.line_end),
+u1 AS (SELECT rid, f, l, unnest(range(f, l + 1)) AS k FROM u0),
+u AS (SELECT rid, f, l, any_value(doc_id) AS doc_id, min(s) AS s, max(e) AS e, md5(string_agg(lw, ' ' ORDER BY k)) AS unit FROM u1 JOIN w2 USING (rid, k) GROUP BY rid, f, l),
+v AS (SELECT *, first(rid) OVER o AS f_rid, first(s) OVER o AS f_s, first(e) OVER o AS f_e FROM u WINDOW o AS (PARTITION BY unit ORDER BY doc_id, s, rid, e)),
+gone AS (SELECT DISTINCT rid, f, l FROM v WHERE (rid, s, e) <> (f_rid, f_s, f_e) AND NOT (rid = f_rid AND s < f_e)),
+c AS (SELECT DISTINCT rid, unnest(range(f, l + 1)) AS k FROM gone),
+r0 AS (SELECT rid, k, s, e, line, k - row_number() OVER (PARTITION BY rid ORDER BY k) AS run FROM c JOIN w2 USING (rid, k)),
+r AS (SELECT rid, run, min(s) AS s, max(e) AS e FROM r0 GROUP BY ALL),
+n AS (SELECT rid, count(*) AS n_removed_words, count(DISTINCT line) AS n_removed FROM r0 GROUP BY rid),
+sp AS (SELECT rid, string_agg(s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s) AS removed_spans, [0] || list(e ORDER BY s) AS froms, list(s ORDER BY s) AS tos FROM r GROUP BY rid),
+p0 AS (SELECT rid, t, i, froms[i] AS a, coalesce(tos[i], length(t)) AS z, i > 1 AS cut_l, i <= len(tos) AS cut_r FROM (SELECT rid, t, froms, tos, unnest(range(1, len(froms) + 1)) AS i FROM sp JOIN d USING (rid))),
+p1 AS (SELECT *, substr(t, (a + 1)::INT, (z - a)::INT) AS x FROM p0),
+p2 AS (SELECT *, cut_l AND regexp_matches(x, '^[ \t\r]*\n') AS l_end, CASE WHEN cut_l THEN regexp_replace(x, '^[ \t\r]*\n?', '') ELSE x END AS y FROM p1),
+p3 AS (SELECT *, cut_r AND regexp_matches(y, '\n[ \t\r]*\z') AS r_end, CASE WHEN cut_r THEN regexp_replace(y, '\n?[ \t\r]*\z', '') ELSE y END AS q FROM p2),
+kept AS (SELECT rid, string_agg(q, chr(10) ORDER BY i) AS left_text FROM p3 WHERE q <> '' OR (cut_l::INT + cut_r::INT = l_end::INT + r_end::INT) GROUP BY rid)
+SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE length(t) - length(replace(t, chr(10), '')) + 1 END::BIGINT AS n_lines, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_removed_words, 0)::BIGINT AS n_removed_words,
+  coalesce(removed_spans, '') AS removed_spans, coalesce(n_removed_words, 0) = 0 AS untouched, CASE WHEN text IS NULL OR n_removed_words IS NULL THEN text ELSE coalesce(left_text, '') END AS text
+FROM d JOIN g USING (rid, doc_id) LEFT JOIN n USING (rid) LEFT JOIN sp USING (rid) LEFT JOIN kept USING (rid)
 """
 
 NEAR_DEDUP = r"""
