@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-from .spans import let, none_of
+from .dual import F
+from .spans import let, none_of, scan
 
 GUARD_MASK, REDACTED = "***GUARD***", "[REDACTED]"
 
@@ -29,12 +29,13 @@ def merge_ranges(ranges: Column) -> Column:
     kind = "struct<start:int,end:int>"
     plain = F.array_sort(F.transform(ranges, lambda r: F.struct(r["start"].cast("int").alias("start"), r["end"].cast("int").alias("end"))))
 
-    def take(acc: Column, r: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], r["end"]).alias("end"))
-        return F.when((F.size(acc) > 0) & (r["start"] <= F.try_element_at(acc, F.lit(-1))["end"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(r)))
+    def take(last: Column, r: Column) -> tuple[Column, Column]:
+        joins = F.coalesce(r["start"] <= last["end"], F.lit(False))
+        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], r["end"]).alias("end"))
+        return F.when(joins, wider).otherwise(r), F.when(joins | last.isNull(), none_of(kind)).otherwise(F.array(last))
 
-    return F.aggregate(plain, none_of(kind), take)
+    done = scan(plain, F.lit(None).cast(kind), take, kind)
+    return let(done, lambda d: F.concat(d["out"], F.when(d["state"].isNull(), none_of(kind)).otherwise(F.array(d["state"]))))
 
 
 def usable(text: Column, findings: Column) -> Column:
@@ -45,9 +46,25 @@ def usable(text: Column, findings: Column) -> Column:
 
 def redact_ranges(text: Column, ranges: Column, mark: str = REDACTED) -> Column:
     """Text with each merged range replaced by ``mark``."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    step = lambda acc, r: F.struct(F.concat(acc["out"], F.substring(text, acc["at"] + 1, r["start"] - acc["at"]), F.lit(mark)).alias("out"), r["end"].alias("at"))
-    return F.aggregate(merge_ranges(ranges), start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    own = merge_ranges(ranges)
+
+    def kept(rs: Column) -> Column:
+        # a place in a string is found from its start on, so a block of ranges is cut from a piece of the text of its own
+        n = F.greatest(F.ceil(F.sqrt(F.size(rs))), F.lit(1)).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(rs) - 1) / n), F.lit(0)).cast("int")), lambda i: F.struct(F.slice(rs, i * n + 1, n).alias("rs"), F.when(i > 0, F.get(rs, i * n - 1)["end"]).otherwise(F.lit(0)).alias("at")))
+
+        def pieces(b: Column) -> Column:
+            part = F.substring(text, b["at"] + 1, F.element_at(b["rs"], -1)["end"] - b["at"])
+
+            def cut(t: Column) -> Column:
+                return F.transform(b["rs"], lambda r, i: let(F.when(i > 0, F.get(b["rs"], i - 1)["end"]).otherwise(b["at"]), lambda e: F.substring(t, e - b["at"] + 1, r["start"] - e)))
+
+            return let(part, cut)
+
+        tail = F.substring(text, F.element_at(rs, -1)["end"] + 1, F.length(text))
+        return F.array_join(F.concat(F.flatten(F.transform(blocks, pieces)), F.array(tail)), mark)
+
+    return let(own, lambda rs: F.when(F.size(rs) == 0, text).otherwise(kept(rs)))
 
 
 def redact(text: Column, findings: Column, mark: str = REDACTED) -> Column:

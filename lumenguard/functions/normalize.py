@@ -9,31 +9,44 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .dual import F
 from .spans import find, kept_places, let, none_of
 
 #: Zero-width and direction controls; white space that may part numbers; what stands on both sides of it.
 ZERO_WIDTH = r"[​-‏‪-‮⁠⁦-⁩﻿]+"
 WHITE = r"[\x09-\x0D\x20   -     　]+"
 BETWEEN = rf"(?<=[0-9\-_/.:]){WHITE}(?=[0-9\-_/.:])"
-BASE64 = r"[A-Za-z0-9+/]{20,}={0,2}"
+BASE64 = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{20,}={0,2}"  # the look back saves trying a run from each of its characters
 URL = r"[A-Za-z0-9_\-.~!*'();:@&=+$,/?#\[\]%]+"
 ESCAPE = "%[0-9A-Fa-f]{2}"
+#: Characters that are their own compatibility forms: ASCII, and common letters and marks of Latin, Cyrillic, Greek, Chinese, Japanese and Korean.
+OWN_FORMS = r"\x00-\x7F¡¿«»À-ıĴ-ľŁ-ňŊ-žΆΈ-ΊΌΎ-ΡΣ-ώЀ-ҁ–—‘’“”•€ぁ-ゖァ-ヺ一-鿿가-힣"
 LEAST, LEFT_TRIMS = 24, 4
+#: What a text needs to have for a Base64 run or a run with escapes of ``LEAST`` characters.
+LONG_RUN = rf"(?<!\S)\S{{{LEAST}}}"
 VIEW = "struct<text:string,view:string,map:array<int>,has_map:boolean,start:int,end:int,depth:int>"
 FOLDED = T.StructType([T.StructField("text", T.StringType()), T.StructField("map", T.ArrayType(T.IntegerType())), T.StructField("changed", T.IntegerType())])
 
 
+class Forms(dict):
+    """Compatibility forms of characters, worked out when first asked for."""
+
+    def __missing__(self, c: str) -> str:
+        form = self[c] = unicodedata.normalize("NFKC", c)
+        return form
+
+
 @F.pandas_udf(FOLDED)
 def _nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """Each code point on its own; rows without others than ASCII come as null and stay so."""
+    """Each code point on its own; rows that need no folding come as null and stay so."""
+    known = Forms()
 
     def fold(text: str | None) -> tuple:
-        if text is None:
-            return None, None, 0
-        forms = [c if c < "\x80" else unicodedata.normalize("NFKC", c) for c in text]
+        if text is None or unicodedata.is_normalized("NFKC", text):  # then each code point is, too
+            return text, None, 0
+        forms = [c if c < "\x80" else known[c] for c in text]
         changed = sum(f != c for f, c in zip(forms, text, strict=True))
         moved = any(len(f) != 1 for f in forms)
         return "".join(forms), [i for i, f in enumerate(forms) for _ in f] if moved else None, changed
@@ -43,9 +56,9 @@ def _nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 
 def nfkc(text: Column) -> Column:
-    """(text, map, changed). There is no built-in for it; only texts with more than ASCII go to Python."""
+    """(text, map, changed). There is no built-in for it; only texts with characters outside ``OWN_FORMS`` go to Python."""
     plain = F.struct(text.alias("text"), F.lit(None).cast("array<int>").alias("map"), F.lit(0).alias("changed"))
-    wide = F.octet_length(text) != F.length(text)
+    wide = (F.octet_length(text) != F.length(text)) & text.rlike(f"[^{OWN_FORMS}]")
     return F.when(wide, _nfkc(F.when(wide, text))).otherwise(plain)
 
 
@@ -66,7 +79,11 @@ def _without(text: Column, pattern: str) -> Column:
 
 
 def zero_width(text: Column) -> Column:
-    return _without(text, ZERO_WIDTH)
+    """Only texts with one of the bytes that these characters begin with are looked through."""
+    raw = text.cast("binary")
+    held = F.contains(raw, F.unhex(F.lit("E280"))) | F.contains(raw, F.unhex(F.lit("E281"))) | F.contains(raw, F.unhex(F.lit("EFBBBF")))
+    plain = F.struct(text.alias("text"), F.lit(None).cast("array<int>").alias("map"), F.lit(0).alias("removed"))
+    return F.when(held, _without(text, ZERO_WIDTH)).otherwise(plain)
 
 
 def compact(text: Column) -> Column:
@@ -80,34 +97,39 @@ def printable(text: Column) -> Column:
 
 
 def base64_aligned(token: Column) -> Column:
-    raw = F.try_to_binary(token, F.lit("base64"))
-    text = raw.cast("string")
-    same = F.regexp_replace(F.base64(raw), "[\r\n=]", "") == F.regexp_replace(token, "=+$", "")
-    fits = (F.length(token) >= LEAST) & (F.length(token) % 4 == 0) & raw.isNotNull()
-    return F.when(fits & F.is_valid_utf8(text) & printable(text) & same, text)
+    def checked(raw: Column) -> Column:
+        same = F.regexp_replace(F.base64(raw), "[\r\n=]", "") == F.regexp_replace(token, "=+$", "")
+        return let(raw.cast("string"), lambda text: F.when(same & F.is_valid_utf8(text) & printable(text), text))
+
+    fits = (F.length(token) >= LEAST) & (F.length(token) % 4 == 0)
+    return F.when(fits, let(F.try_to_binary(token, F.lit("base64")), checked))
 
 
 def base64_text(token: Column) -> Column:
     """Decoded text, after the fewest characters cut from the left that make it one; else null."""
-    return F.coalesce(*[base64_aligned(F.substring(token, i + 1, 1 << 30) if i else token) for i in range(LEFT_TRIMS)])
+    cut = lambda i: let(F.substring(token, i + 1, F.length(token)), base64_aligned)
+    tries = F.sequence(F.lit(0), F.lit(LEFT_TRIMS - 1))
+    return F.aggregate(tries, F.lit(None).cast("string"), lambda done, i: F.coalesce(done, cut(i)))
 
 
 def url_text(token: Column) -> Column:
     """Percent escapes decoded; null if malformed, not UTF-8, unchanged or not printable. A plus sign stays."""
     parts = F.regexp_extract_all(token, F.lit(f"{ESCAPE}|[^%]+"), F.lit(0))
     code = F.transform(parts, lambda p: F.when(p.startswith("%"), F.substring(p, 2, 2)).otherwise(F.hex(p.cast("binary"))))
-    text = F.unhex(F.array_join(code, "")).cast("string")
-    good = token.rlike(f"\\A(?:[^%]|{ESCAPE})*\\z")
-    return F.when(good & F.is_valid_utf8(text) & (text != token) & printable(text), text)
+    decoded = F.unhex(F.array_join(code, "")).cast("string")
+    bad = token.rlike("%(?![0-9A-Fa-f]{2})")  # a repeated group over the whole token would recurse once a character
+    return F.when(~bad, let(decoded, lambda text: F.when(F.is_valid_utf8(text) & (text != token) & printable(text), text)))
 
 
 def candidates(text: Column) -> Column:
     """Array of (v, s, e, view): Base64 runs, then runs with two percent escapes or more; 24 characters at least."""
+    kind = "struct<v:string,s:int,e:int,view:string>"
     tagged = lambda spans, view: F.transform(spans, lambda x: F.struct(x.v.alias("v"), x.s.alias("s"), x.e.alias("e"), F.lit(view).alias("view")))
     long_ = lambda spans: F.filter(spans, lambda x: F.length(x.v) >= LEAST)
     urls = F.when(text.contains("%"), F.filter(long_(find(text, URL)), lambda x: F.regexp_count(x.v, F.lit(ESCAPE)) >= 2))
     none = none_of("struct<m:string,v:string,s:int,e:int>")
-    return F.concat(tagged(long_(find(text, BASE64)), "decoded-base64"), tagged(F.coalesce(urls, none), "decoded-url"))
+    both = F.concat(tagged(long_(find(text, BASE64)), "decoded-base64"), tagged(F.coalesce(urls, none), "decoded-url"))
+    return F.when(text.rlike(LONG_RUN), both).otherwise(none_of(kind))
 
 
 def _decoded(text: Column) -> Column:

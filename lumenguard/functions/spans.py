@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+
+from .dual import F
 
 SPAN = "struct<m:string,v:string,s:int,e:int>"
 
@@ -19,26 +20,46 @@ def none_of(kind: str) -> Column:
     return F.array().cast(f"array<{kind}>")
 
 
-def find(text: Column, pattern: str, group: int = 0) -> Column:
-    """Array of (m, v, s, e): each leftmost non-overlapping match, its group (the match itself where that is empty), and where it
-    starts and ends in code points. What stands before a match is the pieces between matches up to it, and those matches."""
+BLOCK = 256
+
+
+def scan(rows: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]], out: str) -> Column:
+    """(state, out) after going through ``rows``: ``step`` gives the next state and an array of what a row adds to ``out``, whose
+    elements are of that type. A list that grows by one is copied each time, so rows are taken in blocks, and lists are put together by block."""
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(rows) - 1) / BLOCK), F.lit(0)).cast("int")), lambda i: F.slice(rows, i * BLOCK + 1, BLOCK))
+
+    def one(acc: Column, x: Column) -> Column:
+        after, added = step(acc["state"], x)
+        return F.struct(after.alias("state"), F.concat(acc["out"], added).alias("out"))
 
-    def placed(found: Column) -> Column:
-        pieces = F.slice(F.split(text, pattern, -1), 1, F.size(found))
-        values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-        rows = F.zip_with(F.zip_with(pieces, found, lambda g, m: F.struct(g.alias("g"), m.alias("m"))), values, lambda x, v: F.struct(x.g.alias("g"), x.m.alias("m"), v.alias("v")))
-        start = F.struct(F.lit(0).alias("at"), none_of(SPAN).alias("out"))
+    def block(acc: Column, xs: Column) -> Column:
+        done = F.aggregate(xs, F.struct(acc["state"].alias("state"), none_of(out).alias("out")), one)
+        return let(done, lambda d: F.struct(d["state"].alias("state"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
 
-        def take(acc: Column, x: Column) -> Column:
-            s = acc["at"] + F.length(x["g"])
-            e = s + F.length(x["m"])
-            one = F.struct(x["m"].alias("m"), F.when(x["v"] == "", x["m"]).otherwise(x["v"]).alias("v"), s.alias("s"), e.alias("e"))
-            return F.struct(e.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    start = F.struct(state.alias("state"), none_of(f"array<{out}>").alias("out"))
+    return F.aggregate(blocks, start, block, lambda acc: F.struct(acc["state"].alias("state"), F.flatten(acc["out"]).alias("out")))
 
-        return F.aggregate(rows, start, take, lambda acc: acc["out"])
 
+def placed(text: Column, found: Column, pattern: str | Column, group: int = 0) -> Column:
+    """Array of SPAN of the matches ``found`` of ``pattern``. What stands before a match is the pieces between matches up to it, and those matches."""
+    regex = F.lit(pattern) if isinstance(pattern, str) else pattern
+    pieces = F.slice(F.split(text, pattern, -1), 1, F.size(found))
+    values = F.regexp_extract_all(text, regex, F.lit(group)) if group else found
+    rows = F.zip_with(F.zip_with(pieces, found, lambda g, m: F.struct(g.alias("g"), m.alias("m"))), values, lambda x, v: F.struct(x.g.alias("g"), x.m.alias("m"), v.alias("v")))
+
+    def take(at: Column, x: Column) -> tuple[Column, Column]:
+        s = at + F.length(x["g"])
+        e = s + F.length(x["m"])
+        return e, F.array(F.struct(x["m"].alias("m"), F.when(x["v"] == "", x["m"]).otherwise(x["v"]).alias("v"), s.alias("s"), e.alias("e")))
+
+    return scan(rows, F.lit(0), take, SPAN)["out"]
+
+
+def find(text: Column, pattern: str, group: int = 0) -> Column:
+    """Array of (m, v, s, e): each leftmost non-overlapping match, its group (the match itself where that is empty), and where it
+    starts and ends in code points."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return let(found, lambda m: F.when(F.size(m) > 0, placed(m)).otherwise(none_of(SPAN)))
+    return let(found, lambda m: F.when(F.size(m) > 0, placed(text, m, pattern, group)).otherwise(none_of(SPAN)))
 
 
 def kept_places(text: Column, removed: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+
+from .dual import F
 
 
 def _stripped(v: Column) -> Column:

@@ -5,14 +5,18 @@ A null text gives a null result; an empty one is not scanned (no layers) but pol
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import dual
 from ..functions import normalize as N
 from ..functions import pack
 from ..functions.spans import none_of
 from .scan import VIOLATION, across_views
 
+
 def severity(verdict: Column) -> Column:
     return F.when(verdict == "DENY", 3).when(verdict == "VIOLATION", 2).when(verdict == "INCOMPLETE", 1).otherwise(0)
 
@@ -32,15 +36,23 @@ def types_of(violations: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(violations, lambda v: v.type)))
 
 
+@lru_cache(maxsize=16)
+def expressions(text: str, patterns: tuple[pack.Pattern, ...]) -> tuple[str, str]:
+    """SQL of the views of column ``text``, next to ``_folded``, and of the findings in ``_views``; made once for each pack."""
+    with dual.as_text():
+        return N.views(dual.F.col(text), dual.F.col("_folded")).sql, across_views(dual.F.col("_views.views"), patterns).sql
+
+
 def classify(df: DataFrame, text: str, out: str = "result", guard: Column | None = None, patterns: tuple[pack.Pattern, ...] = pack.PATTERNS) -> DataFrame:
     """``df`` with a result struct. ``guard`` is a column with a struct (verdict, violations), null where no guard answered."""
     if dict(df.dtypes).get(text) != "string":
         raise TypeError(f"{text}: a string column is needed, not {dict(df.dtypes).get(text)}")
     version, sha = pack.identity(patterns)
     c = F.col(text)
+    views, findings = expressions(text, tuple(patterns))
     folded = df.withColumn("_folded", N.nfkc(F.when(c != "", c)))
-    viewed = folded.withColumn("_views", F.when(c != "", N.views(c, F.col("_folded"))))
-    scanned = viewed.withColumn("_regex", F.when(c != "", across_views(F.col("_views.views"), patterns)).when(c == "", none_of(VIOLATION)))
+    viewed = folded.withColumn("_views", F.when(c != "", F.expr(views)))
+    scanned = viewed.withColumn("_regex", F.when(c != "", F.expr(findings)).when(c == "", none_of(VIOLATION)))
     answer = guard if guard is not None else F.lit(None).cast(f"struct<verdict:string,violations:array<{VIOLATION}>>")
     accepted = answer.isNotNull() & (c != "")
     verdict = merge_verdicts(regex_verdict(F.col("_regex")), F.when(accepted, answer["verdict"]))

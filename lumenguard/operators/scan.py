@@ -7,11 +7,11 @@ overlapping findings with one value the first stays. Offsets are code points and
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
 
 from ..functions import pack
+from ..functions.dual import F
 from ..functions.masks import mask
-from ..functions.spans import find, let, none_of
+from ..functions.spans import find, let, none_of, placed, scan
 from ..functions.validators import VALIDATORS
 
 MATCH = "struct<type:string,idx:int,value:string,start:int,end:int,confidence:double>"
@@ -49,18 +49,78 @@ def ordered(matches: Column) -> Column:
 def drop_overlaps(matches: Column) -> Column:
     """In the order given, keeps a match unless a kept one with the same value overlaps it.
 
-    That is looked at pair by pair only where neighbours of one value, by start, overlap at all.
+    That is looked at only where neighbours of one value, by start, overlap at all, and then only within runs of such matches.
     """
-    by_place = F.array_sort(F.transform(matches, lambda m: F.struct(m.value.alias("v"), m.start.alias("s"), m.end.alias("e"))))
-    touching = let(by_place, lambda b: F.exists(F.zip_with(b, F.slice(b, 2, F.greatest(F.size(b) - 1, F.lit(0))), lambda x, y: F.coalesce((x.v == y.v) & (y.s < x.e), F.lit(False))), lambda t: t))
-    clashes = lambda kept, m: F.exists(kept, lambda k: (k.value == m.value) & (k.start < m.end) & (k.end > m.start))
-    greedy = F.aggregate(matches, none_of(MATCH), lambda kept, m: F.when(clashes(kept, m), kept).otherwise(F.concat(kept, F.array(m))))
-    return F.when(touching, greedy).otherwise(matches)
+    by_place = F.array_sort(F.transform(matches, lambda m, i: F.struct(m.value.alias("v"), m.start.alias("s"), m.end.alias("e"), i.alias("i"))))
+
+    def decided(places: Column) -> Column:
+        touching = F.exists(F.zip_with(places, F.slice(places, 2, F.greatest(F.size(places) - 1, F.lit(0))), lambda x, y: F.coalesce((x.v == y.v) & (y.s < x.e), F.lit(False))), lambda t: t)
+        flags = F.transform(F.array_sort(kept_in_runs(F.array_sort(runs_of(places)))), lambda x: x.kept)
+        chosen = F.transform(F.filter(F.zip_with(matches, flags, lambda m, k: F.struct(m.alias("m"), k.alias("k"))), lambda x: x.k), lambda x: x.m)
+        return F.when(touching, chosen).otherwise(matches)
+
+    return let(by_place, decided)
+
+
+RUN = "struct<run:int,i:int,s:int,e:int>"
+SPANS = "array<struct<s:int,e:int>>"
+
+
+def runs_of(places: Column) -> Column:
+    """Array of RUN of the sorted ``places`` (v, s, e, i): a run ends where a value's next match starts after all before it have ended."""
+
+    def take(state: Column, x: Column) -> tuple[Column, Column]:
+        goes_on = F.coalesce((state["v"] == x["v"]) & (x["s"] < state["e"]), F.lit(False))
+        run = F.when(goes_on, state["run"]).otherwise(state["run"] + 1)
+        after = F.struct(x["v"].alias("v"), F.when(goes_on, F.greatest(state["e"], x["e"])).otherwise(x["e"]).alias("e"), run.alias("run"))
+        return after, F.array(F.struct(run.alias("run"), x["i"].alias("i"), x["s"].alias("s"), x["e"].alias("e")))
+
+    start = F.struct(F.lit(None).cast("string").alias("v"), F.lit(0).alias("e"), F.lit(0).alias("run"))
+    return scan(places, start, take, RUN)["out"]
+
+
+def kept_in_runs(rows: Column) -> Column:
+    """Array of (i, kept) of ``rows`` of RUN by run and order: in a run the first stays, and each later one that overlaps none that does."""
+
+    def take(state: Column, x: Column) -> tuple[Column, Column]:
+        same = state["run"] == x["run"]
+        clash = same & F.exists(state["spans"], lambda k: (k["s"] < x["e"]) & (k["e"] > x["s"]))
+        own = F.array(F.struct(x["s"].alias("s"), x["e"].alias("e")))
+        spans = F.when(~same, own).when(clash, state["spans"]).otherwise(F.concat(state["spans"], own))
+        return F.struct(x["run"].alias("run"), spans.alias("spans")), F.array(F.struct(x["i"].alias("i"), (~clash).alias("kept")))
+
+    return scan(rows, F.struct(F.lit(0).alias("run"), F.array().cast(SPANS).alias("spans")), take, "struct<i:int,kept:boolean>")["out"]
+
+
+def valid(kind: Column, value: Column) -> Column:
+    """Whether ``value`` passes the validator named ``kind``."""
+    ok = F.when(kind == "none", F.lit(True))
+    for name, check in VALIDATORS.items():
+        if name != "none":
+            ok = ok.when(kind == name, check(value))
+    return ok.otherwise(F.lit(False))
+
+
+def all_matches(text: Column, patterns: tuple[pack.Pattern, ...]) -> Column:
+    """Array of MATCH of all patterns, by pattern and place. Matches are looked for by each pattern; what follows is written once, for those that have some."""
+    fields = lambda p: F.struct(F.lit(p.cls).alias("type"), F.lit(p.confidence).alias("confidence"), F.lit(p.validator).alias("validator"), F.lit(pack.java(p)).alias("pattern"))
+    known = F.array(*[fields(p) for p in patterns])
+
+    def by_pattern(low: Column) -> Column:
+        found = lambda p: F.regexp_extract_all(text, F.lit(pack.java(p)), F.lit(0))
+        each = F.array(*[F.when(may_match(text, low, p.hint), found(p)) if p.hint else found(p) for p in patterns])
+        some = F.filter(F.transform(each, lambda f, i: F.struct(i.alias("i"), f.alias("f"))), lambda x: F.size(x.f) > 0)
+        return F.flatten(F.transform(some, lambda x: let(F.get(known, x.i), lambda p: of_pattern(x, p))))
+
+    def of_pattern(x: Column, p: Column) -> Column:
+        good = F.filter(placed(text, x.f, p.pattern, 1), lambda y: ~is_reference(y.v) & valid(p.validator, y.v))
+        return F.transform(good, lambda y: F.struct(p.type.alias("type"), x.i.alias("idx"), y.v.alias("value"), y.s.alias("start"), y.e.alias("end"), p.confidence.alias("confidence")))
+
+    return let(F.lower(text), by_pattern)
 
 
 def raw_matches(text: Column, patterns: tuple[pack.Pattern, ...] = pack.PATTERNS) -> Column:
-    found = let(F.lower(text), lambda low: F.concat(*[pattern_matches(text, i, p, low) for i, p in enumerate(patterns)]))
-    return let(found, lambda all_: F.when(F.size(all_) == 0, none_of(MATCH)).otherwise(let(ordered(all_), drop_overlaps)))
+    return let(all_matches(text, patterns), lambda all_: F.when(F.size(all_) == 0, none_of(MATCH)).otherwise(let(ordered(all_), drop_overlaps)))
 
 
 def violations(view: Column, patterns: tuple[pack.Pattern, ...] = pack.PATTERNS) -> Column:
@@ -95,10 +155,16 @@ def across_views(views: Column, patterns: tuple[pack.Pattern, ...] = pack.PATTER
     def merged(parts: Column) -> Column:
         first = F.get(parts, F.lit(0))
         later = F.flatten(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))))
-        start = F.struct(F.transform(first, lambda x: x.key).alias("seen"), none_of(VIOLATION).alias("out"))
-        step = lambda acc, x: F.when(F.array_contains(acc["seen"], x["key"]), acc).otherwise(F.struct(F.concat(acc["seen"], F.array(x["key"])).alias("seen"), F.concat(acc["out"], F.array(x["x"])).alias("out")))
-        added = F.when(F.size(later) == 0, none_of(VIOLATION)).otherwise(F.aggregate(later, start, step, lambda acc: acc["out"]))
-        return F.concat(F.transform(first, lambda x: x.x), added)
+
+        def added(more: Column) -> Column:
+            # by key, those of the first view before all others: a later one is new if the one before it has another key
+            known = F.transform(first, lambda x: F.struct(x.key.alias("key"), F.lit(-1).alias("i"), x.x.alias("x")))
+            rows = F.array_sort(F.concat(known, F.transform(more, lambda x, i: F.struct(x.key.alias("key"), i.alias("i"), x.x.alias("x")))))
+            fresh = lambda r: F.filter(r, lambda x, i: (x.i >= 0) & ((i == 0) | ~F.get(r, i - 1)["key"].eqNullSafe(x.key)))
+            return F.transform(F.array_sort(F.transform(let(rows, fresh), lambda x: F.struct(x.i.alias("i"), x.x.alias("x")))), lambda x: x.x)
+
+        plain = F.transform(first, lambda x: x.x)
+        return F.when(F.size(later) == 0, plain).otherwise(F.concat(plain, let(later, added)))
 
     return let(per_view, merged)
 
