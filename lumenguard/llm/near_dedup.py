@@ -7,27 +7,27 @@ hashes. Documents whose sets have ``similarity`` percent of their union in commo
 1. One pass makes each document's set size, set digest and ``SIGNATURE`` MinHash values of 16 bits.
 2. Equal sets are one class, for which its least doc_id stands from here on.
 3. Forest: each of ``TREES`` trees sorts the classes by ``DEPTH`` values of the signature, each tree by others first. What
-   stands close in an order shares a long prefix, and the denser a region, the longer: depth adapts by itself. A class
-   is compared with the ``REACH`` classes before it that share its first value; those with ``LEAST_EQUAL`` equal values of
-   the ``DEPTH`` are candidates. A pair at 80 % is missed by one tree with a probability of about 0.5, by all under 1e-6.
-4. Each class confirms up to ``TRIES`` of its candidates on the full sets, the best of each of as many parts of all classes, and
+   stands close in an order shares a long prefix, and the denser a region, the longer: depth adapts by itself. Of the
+   ``REACH`` classes before it, a class takes that with the longest common prefix, ``LEAST_DEPTH`` values at least, and of
+   equally long ones that with the most equal values.
+4. Each class confirms up to ``TRIES`` of these neighbours on the full sets, the best of each of as many parts of all classes, and
    components of these links are found. That makes nearly all of a large group of copies one component without looking at its pairs.
-5. What the forest's reach hides is found by ``BANDS`` bands of ``BAND`` signature values, over all classes: classes with
-   one band equal are one bucket, and in a bucket all pairs of different components meet, however large it is. A pair at 80 %
-   shares no band with a probability of 5e-8. Pairs whose sizes allow a link and that have ``LEAST_BRIEF`` equal bytes, one byte
-   of each signature value, are candidates: a pair at 80 % has 102 on average, with a deviation of 4.5, so about one in a
-   million has fewer. Pairs within a component could not change it.
-6. Of each two components the most alike candidate pair is confirmed first; then all pairs that are still in different
-   components are, however many. Links between the same components are one link for the searches that join components.
+5. What neighbours and the ends of partitions hide is found without a reach: classes that share any of ``BANDS`` prefixes of ``BAND``
+   values are one bucket, and in a bucket all pairs of different components meet, however large it is. A pair at 80 %
+   shares no such prefix with a probability of 5e-8. Pairs whose sizes allow a link and that have ``LEAST_EQUAL`` equal
+   values are candidates: a pair at 80 % has 102 on average, with a deviation of 4.5, so about one in a million has fewer.
+6. Candidates are confirmed where they meet, each pair in the first bucket that it shares: the sets of classes that have candidates
+   are sent to their buckets, the most alike pairs come first, and pairs that have become connected are passed over. So a
+   bucket of n classes gives less than n links, and no table of pairs is made.
 
 Sorts are by range over all trees, so a region of any size is dealt over tasks; only REACH neighbours meet. Buckets are
 dealt in blocks of about ``BLOCK`` classes, each pair of blocks to a task; buckets of one component are dropped before. The work
-in a bucket grows with the number of its pairs in different components. Each confirmed pair brings two texts together, from a
-table of the texts that have candidates.
+in a bucket grows with the number of its pairs in different components, the rows that move do not.
 
 Nulls: a null text has no words. A document with a null doc_id is kept and links with nothing; its component is null. doc_id
-is meant to be unique: repeats of a row get its result, and of rows with one doc_id and several texts each is judged by its own
-text, but compared by one of them. An empty table gives an empty result. Other columns don't matter.
+is meant to be unique: repeats of a row get its result, and of rows with one doc_id and several texts the text with the least
+hash (xxhash64) stands for the document; the others have set sizes of their own and the document's component. An empty table
+gives an empty result. Other columns don't matter.
 """
 
 from __future__ import annotations
@@ -46,8 +46,9 @@ from pyspark.sql import functions as F
 from .components import components
 from .store import staged
 
-SIGNATURE, TREES, DEPTH, STEP, REACH, LEAST_EQUAL, TRIES, LEAST_BRIEF = 128, 24, 16, 5, 32, 8, 6, 80
+SIGNATURE, TREES, DEPTH, STEP, REACH, LEAST_DEPTH, TRIES, LEAST_EQUAL = 128, 24, 16, 5, 32, 3, 6, 80
 BANDS, BAND, BLOCK = 32, 4, 4096
+BUCKET = "bucket long, band int, i int, j int, own int, id long, component long, n_shingles long, sig binary"
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 MANY_WORDS = 400_000  # of a worker's word cache, which is emptied then
 _ROLL = np.random.default_rng(9)
@@ -101,7 +102,7 @@ def signature(items: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, p: Params) -> DataFrame:
-    """(doc_id, n_shingles, digest, sig, brief) of every row; the last three are null for empty sets. ``brief`` has a byte of each value of ``sig``."""
+    """(doc_id, text_key, n_shingles, digest, sig) of every row; the last two are null for empty sets."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -112,10 +113,9 @@ def signatures(docs: DataFrame, p: Params) -> DataFrame:
                 sizes.append(len(items))
                 digests.append(hashlib.blake2b(items.tobytes(), digest_size=16).digest() if len(items) else None)
                 sigs.append(signature(items) if len(items) else None)
-            briefs = [None if x is None else x[1::2] for x in sigs]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), *[pa.array(x, pa.binary()) for x in (digests, sigs, briefs)]], ["doc_id", "n_shingles", "digest", "sig", "brief"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(sizes, pa.int64()), *[pa.array(x, pa.binary()) for x in (digests, sigs)]], ["doc_id", "text_key", "n_shingles", "digest", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, n_shingles long, digest binary, sig binary, brief binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(each, "doc_id long, text_key long, n_shingles long, digest binary, sig binary")
 
 
 def forest(classes: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def forest(classes: DataFrame) -> DataFrame:
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
-    """(a, b, equal) with a < b: for each row the best of the candidates before it, if there are any."""
+    """(a, b, alike) with a < b: for each row its neighbour before it. ``alike`` orders neighbours by common prefix, then by equal values."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last REACH rows, for what follows
@@ -140,86 +140,158 @@ def neighbours(rows: DataFrame) -> DataFrame:
             old = 0 if held is None else len(held[1])
             key, ids = now if held is None else tuple(np.concatenate(x) for x in zip(held, now, strict=True))
             vals = np.ascontiguousarray(key[:, 1:]).view(np.uint16)
-            head = np.ascontiguousarray(key[:, :3])
+            tree = key[:, 0]
             top, other = np.zeros(len(ids), np.int16), np.zeros(len(ids), np.int64)  # best so far, and how far before
             for w in range(1, min(REACH, len(ids) - 1) + 1):
                 lo = max(w, old)
-                i = np.flatnonzero((head[lo:] == head[lo - w : len(ids) - w]).all(axis=1)) + lo
-                equal = (vals[i] == vals[i - w]).sum(axis=1).astype(np.int16)
-                better = (equal >= LEAST_EQUAL) & (equal > top[i])
-                top[i[better]], other[i[better]] = equal[better], w
+                i = np.flatnonzero((tree[lo:] == tree[lo - w : len(ids) - w]) & (vals[lo:, :LEAST_DEPTH] == vals[lo - w : len(ids) - w, :LEAST_DEPTH]).all(axis=1)) + lo
+                same = vals[i] == vals[i - w]
+                alike = (np.logical_and.accumulate(same, axis=1).sum(axis=1) * (DEPTH + 1) + same.sum(axis=1)).astype(np.int16)
+                better = alike > top[i]
+                top[i[better]], other[i[better]] = alike[better], w
             i = np.flatnonzero(top)
             j = i - other[i]
             pairs = np.unique(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), top[i].astype(np.int64)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], ["a", "b", "equal"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], ["a", "b", "alike"])
             held = key[-REACH:], ids[-REACH:]
 
-    return rows.mapInArrow(each, "a long, b long, equal long")
+    return rows.mapInArrow(each, "a long, b long, alike long")
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """(bucket, i, j, own, id, component, n_shingles, brief) of ``classes`` in buckets of several components, by (bucket, i, j).
+    """Rows of BUCKET: ``classes`` in buckets of several components, by (bucket, i, j).
 
     A bucket is dealt in blocks; ``own`` is the row's block, and i <= j are two blocks that meet, own being one of them."""
-    keys = F.array(*[F.xxhash64(F.lit(t), F.substring("sig", 2 * BAND * t + 1, 2 * BAND)) for t in range(BANDS)])
-    rows = classes.select("id", "component", F.explode(keys).alias("bucket"))
+    keys = F.array(*[F.struct(F.xxhash64(F.lit(t), F.substring("sig", 2 * BAND * t + 1, 2 * BAND)).alias("bucket"), F.lit(t).alias("band")) for t in range(BANDS)])
+    rows = classes.select("id", "component", F.explode(keys).alias("k")).select("id", "component", "k.bucket", "k.band")
     mixed_up = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     some = rows.join(mixed_up.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     met = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))).alias("m")
-    dealt = some.join(classes.select("id", "n_shingles", "brief"), "id").select("bucket", met, "own", "id", "component", "n_shingles", "brief").select("bucket", "m.i", "m.j", "own", "id", "component", "n_shingles", "brief")
-    return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    dealt = some.join(classes.select("id", "n_shingles", "sig"), "id").select("bucket", "band", met, "own", "id", "component", "n_shingles", "sig")
+    return in_order(dealt.select("bucket", "band", "m.i", "m.j", "own", "id", "component", "n_shingles", "sig"))
 
 
-def candidates(rows: DataFrame, p: Params) -> DataFrame:
-    """(a, b, equal, ca, cb) with a < b: all pairs of ``buckets`` in different components that may be linked by sizes and briefs."""
-    similarity = p.similarity
+def in_order(rows: DataFrame) -> DataFrame:
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "id")
+
+
+@dataclass
+class Bucket:
+    """The classes of one (bucket, i, j)."""
+
+    band: int
+    meets: bool  # blocks i and j are one: all pairs meet; otherwise those across
+    own: np.ndarray
+    ids: np.ndarray
+    comps: np.ndarray
+    sizes: np.ndarray
+    sigs: np.ndarray
 
-    def pairs(place: np.ndarray, own: np.ndarray, ids: np.ndarray, comp: np.ndarray, sizes: np.ndarray, brief: np.ndarray) -> Iterator[pa.RecordBatch]:
-        start = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]).any(axis=1)])
-        rank = np.arange(len(ids)) - np.repeat(start, np.diff(np.r_[start, len(ids)]))
-        meets = (place[:, 1] == place[:, 2])  # blocks i and j are one: all its pairs meet; otherwise those across
-        at, found, held = np.arange(len(ids)), [], 0
-        for w in range(1, len(ids)):
-            at = at[rank[at] >= w]
-            if not len(at):
-                break
-            i, j = at, at - w
-            k = (comp[i] != comp[j]) & (meets[i] | (own[i] != own[j])) & (100 * np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j]))
-            i, j = i[k], j[k]
+    def candidates(self, similarity: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(a, b, equal): places of pairs in different components that may be linked and share no earlier bucket."""
+        for w in range(1, len(self.ids)):
+            i = np.flatnonzero(self.comps[w:] != self.comps[:-w]) + w
+            i = i[100 * np.minimum(self.sizes[i], self.sizes[i - w]) >= similarity * np.maximum(self.sizes[i], self.sizes[i - w])]
+            if not self.meets:
+                i = i[self.own[i] != self.own[i - w]]
             if len(i):
-                equal = (brief[i] == brief[j]).sum(axis=1)
-                alike = equal >= LEAST_BRIEF
-                found.append((i[alike], j[alike], equal[alike]))
-                held += len(found[-1][0])
-            if held > 200_000:
-                yield batch(found, ids, comp)
-                found, held = [], 0
-        if held:
-            yield batch(found, ids, comp)
+                same = self.sigs[i] == self.sigs[i - w]
+                equal = same.sum(axis=1)
+                pick = equal >= LEAST_EQUAL
+                before = same[pick, : BAND * self.band].reshape(int(pick.sum()), self.band, BAND)
+                pick[pick] = ~before.all(axis=2).any(axis=1)
+                yield i[pick], i[pick] - w, equal[pick]
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Bucket, pa.Table]]:
+    """Buckets with their rows, of rows that come in their order."""
+
+    def made(rows: pa.Table) -> tuple[Bucket, pa.Table]:
+        number = lambda c: rows.column(c).to_numpy()
+        sigs = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint16).reshape(rows.num_rows, SIGNATURE)
+        return Bucket(int(number("band")[0]), number("i")[0] == number("j")[0], number("own"), number("id"), number("component"), number("n_shingles"), sigs), rows
+
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        place = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("bucket", "i", "j")], axis=1)
+        starts = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]).any(axis=1)])
+        for s, e in zip(starts, [*starts[1:], b.num_rows], strict=True):
+            if held and (place[s] != last).any():
+                yield made(pa.Table.from_batches(held))
+                held = []
+            held.append(b.slice(s, e - s))
+            last = place[s]
+    if held:
+        yield made(pa.Table.from_batches(held))
+
 
-    def batch(found: list, ids: np.ndarray, comp: np.ndarray) -> pa.RecordBatch:
-        i, j, equal = (np.concatenate(x) for x in zip(*found, strict=True))
-        i, j = np.where(ids[i] < ids[j], i, j), np.where(ids[i] < ids[j], j, i)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[i], ids[j], equal.astype(np.int64), comp[i], comp[j])], ["a", "b", "equal", "ca", "cb"])
+def active(rows: DataFrame, p: Params) -> DataFrame:
+    """The ``rows`` of BUCKET whose class has candidates there."""
+    similarity = p.similarity
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # what came of the last (bucket, i, j), which may go on
-        for b in batches:
-            if not b.num_rows:
-                continue
-            place = np.stack([np.asarray(b.column(c)).astype(np.int64) for c in ("bucket", "i", "j")], axis=1)
-            now = place, *[np.asarray(b.column(c)).astype(np.int64) for c in ("own", "id", "component", "n_shingles")], np.frombuffer(b"".join(b.column("brief").to_pylist()), np.uint8).reshape(b.num_rows, SIGNATURE)
-            differs = np.flatnonzero((place != place[-1]).any(axis=1))
-            last = differs[-1] + 1 if len(differs) else 0  # where the last one starts
-            if last or (held and (held[-1][0][-1] != place[0]).any()):
-                done = [*held, tuple(x[:last] for x in now)]
-                yield from pairs(*[np.concatenate(x) for x in zip(*done, strict=True)])
-                held = []
-            held.append(tuple(x[last:] for x in now))
+        for bucket, own in by_bucket(batches):
+            some = np.zeros(own.num_rows, bool)
+            for a, b, _ in bucket.candidates(similarity):
+                some[a] = some[b] = True
+            if some.any():
+                yield from own.filter(pa.array(some)).to_batches()
+
+    return rows.mapInArrow(each, BUCKET)
+
+
+def linked_exactly(u: np.ndarray, v: np.ndarray, similarity: int) -> bool:
+    """Whether two sorted sets have ``similarity`` percent of their union in common."""
+    u, v = (u, v) if len(u) >= len(v) else (v, u)
+    both = int((u[np.minimum(np.searchsorted(u, v), len(u) - 1)] == v).sum())
+    return both > 0 and 100 * both >= similarity * (len(u) + len(v) - both)
+
+
+def settled(rows: DataFrame, p: Params) -> DataFrame:
+    """(u, v): pairs of components with linked classes, of ``rows`` of BUCKET with their sets as ``items``; enough to connect all that are."""
+    similarity = p.similarity
+
+    def links(bucket: Bucket, sets: pa.ChunkedArray) -> list[tuple[int, int]]:
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                root[c] = root.get(up, up)
+                c = up
+            return c
+
+        def take(pairs: list) -> None:
+            a, b, equal = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            for k in np.argsort(-equal, kind="stable").tolist():
+                i, j = a[k], b[k]
+                u, v = find(int(bucket.comps[i])), find(int(bucket.comps[j]))
+                if u != v and linked_exactly(items[i], items[j], similarity):
+                    root[max(u, v)] = min(u, v)
+                    found.append((u, v))
+
+        items = [np.frombuffer(x.as_buffer(), np.uint64) for x in sets]
+        found: list[tuple[int, int]] = []
+        held, n = [], 0
+        for pairs in bucket.candidates(similarity):
+            held.append(pairs)
+            n += len(pairs[0])
+            if n > 1_000_000:
+                take(held)
+                held, n = [], 0
         if held:
-            yield from pairs(*[np.concatenate(x) for x in zip(*held, strict=True)])
+            take(held)
+        return found
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, own in by_bucket(batches):
+            found = links(bucket, own.column("items"))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["u", "v"])
 
-    return rows.mapInArrow(each, "a long, b long, equal long, ca long, cb long")
+    return rows.mapInArrow(each, "u long, v long")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
@@ -228,24 +300,20 @@ def confirmed(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, sets, held = WordHashes(), OrderedDict(), 0
 
-        def items(i: int, text: str) -> np.ndarray:
+        def items(i: int, text: pa.StringScalar) -> np.ndarray:
             nonlocal held
             if i in sets:
                 sets.move_to_end(i)
                 return sets[i]
-            sets[i] = shingles(text, p.width, known)
-            held += len(sets[i])
+            own = sets[i] = shingles(text.as_py(), p.width, known)
+            held += len(own)
             while held > 4_000_000 and len(sets) > 2:
                 held -= len(sets.popitem(last=False)[1])
-            return sets[i]
+            return own
 
         for b in batches:
-            keep = []
-            for a, c, x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), b.column("text_a"), b.column("text_b"), strict=True):
-                u, v = items(a, x.as_py() if a not in sets else ""), items(c, y.as_py() if c not in sets else "")
-                both = len(np.intersect1d(u, v, assume_unique=True)) if 100 * min(len(u), len(v)) >= p.similarity * max(len(u), len(v)) else 0
-                keep.append(both > 0 and 100 * both >= p.similarity * (len(u) + len(v) - both))
-            mask = pa.array(keep, pa.bool_())
+            ends = zip(b.column("a").to_pylist(), b.column("b").to_pylist(), b.column("text_a"), b.column("text_b"), strict=True)
+            mask = pa.array([linked_exactly(items(a, x), items(c, y), p.similarity) for a, c, x, y in ends], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], ["a", "b"])
 
     one = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
@@ -260,41 +328,58 @@ def relabelled(rows: DataFrame, column: str, groups: DataFrame) -> DataFrame:
     return rows.join(on, F.col(column) == F.col("_id"), "left").withColumn(column, F.coalesce("_to", column)).drop("_id", "_to")
 
 
-def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, text) of the documents in ``ids`` (id)."""
-    return staged(docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text").groupBy("id").agg(F.first("text").alias("text")), "texts")
+def texts_of(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the classes in ``ids`` (id)."""
+    wanted = classes.join(ids, "id", "left_semi").select("id", F.col("text_key").alias("_key"))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_own"))
+    found = rows.join(wanted, (F.col("doc_id") == F.col("id")) & (F.col("_own") == F.col("_key"))).select("id", "text")
+    return staged(found.dropDuplicates(["id"]), "texts")
+
+
+def sets_of(texts: DataFrame, p: Params) -> DataFrame:
+    """(id, items): the sets of ``texts`` (id, text), as sorted 64-bit hashes."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                rows = b.slice(at, 500)
+                yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array([shingles(t.as_py(), p.width, known).tobytes() for t in rows.column("text")], pa.binary())], ["id", "items"])
+
+    return texts.mapInArrow(each, "id long, items binary")
 
 
-def ends_of(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+def classes_of(sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``sigs`` with the digest of the text that stands for the document, classes (id, text_key, digest, sig, n_shingles))."""
+    own = F.struct("text_key", "digest")
+    several = sigs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi"), F.min(own).alias("first"))
+    several = staged(several.where("lo <> hi").select(F.col("doc_id").alias("_id"), "first"), "several")
+    rows = sigs.join(several, F.col("doc_id") == F.col("_id"), "left")
+    stands = F.col("first").isNull() | (F.col("first.text_key") == F.col("text_key"))
+    named = rows.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull() & stands)
+    least = F.min(F.struct("doc_id", "text_key")).alias("m")
+    classes = named.groupBy("digest").agg(least, *[F.first(c).alias(c) for c in ("sig", "n_shingles")]).select(F.col("m.doc_id").alias("id"), F.col("m.text_key").alias("text_key"), "digest", "sig", "n_shingles")
+    return rows.withColumn("digest", F.when(F.col("first").isNull(), F.col("digest")).otherwise(F.col("first.digest"))), staged(classes, "classes")
 
 
 def linked(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs``; doc_id must be whole numbers."""
-    sigs = staged(signatures(docs, p), "signatures")
-    named = sigs.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
-    classes = staged(named.groupBy("digest").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("sig", "brief", "n_shingles")]), "classes")
+    sigs, classes = classes_of(staged(signatures(docs, p), "signatures"))
     first = staged(neighbours(forest(classes.select("id", "sig"))), "pairs")
-    ends = first.select(F.col("a").alias("id"), "b", "equal").unionByName(first.select(F.col("b").alias("id"), F.col("a").alias("b"), "equal"))
+    ends = first.select(F.col("a").alias("id"), "b", "alike").unionByName(first.select(F.col("b").alias("id"), F.col("a").alias("b"), "alike"))
     part = F.pmod(F.xxhash64("b"), F.lit(TRIES)).alias("part")
-    best = ends.groupBy("id", part).agg(F.max(F.struct("equal", (-F.col("b")).alias("m"))).alias("x")).select("id", (-F.col("x.m")).alias("other"))
+    best = ends.groupBy("id", part).agg(F.max(F.struct("alike", (-F.col("b")).alias("m"))).alias("x")).select("id", (-F.col("x.m")).alias("other"))
     tried = staged(best.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "best")
-    links = staged(confirmed(tried, texts_of(docs, ends_of(tried)), p), "confirmed")
-    all_groups = [components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))]
-    again = staged(relabelled(classes.withColumn("component", F.col("id")), "component", all_groups[0]), "again")
-    rest = staged(candidates(buckets(again), p).distinct().join(tried, ["a", "b"], "left_anti"), "rest")
-    texts = texts_of(docs, ends_of(rest))
-    least, most = F.least("ca", "cb").alias("u"), F.greatest("ca", "cb").alias("v")
-    top = staged(rest.groupBy(least, most).agg(F.max(F.struct("equal", "a", "b")).alias("x")).select("u", "v", "x.a", "x.b"), "top")
-    all_groups.append(components(staged(confirmed(top, texts, p), "confirmed").join(top, ["a", "b"]).select("u", "v")))
-    left = rest.join(top, ["a", "b"], "left_anti").select("a", "b", "ca", "cb")
-    for end in ("ca", "cb"):
-        left = relabelled(left, end, all_groups[1])
-    left = staged(left.where("ca <> cb"), "left")
-    all_groups.append(components(staged(confirmed(left, texts, p), "confirmed").join(left, ["a", "b"]).select(F.col("ca").alias("u"), F.col("cb").alias("v"))))
-    component_of = classes.select("digest", "id", F.col("id").alias("component"))
-    for groups in all_groups:
-        component_of = relabelled(component_of, "component", groups)
+    ids = tried.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    links = staged(confirmed(tried, texts_of(docs, classes, ids), p), "confirmed")
+    groups = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    again = staged(relabelled(classes.select("id", "sig", "n_shingles", F.col("id").alias("component")), "component", groups), "again")
+    some = staged(active(buckets(again), p), "active")
+    sets = staged(sets_of(texts_of(docs, classes, some.select("id").distinct()), p), "sets")
+    more = components(staged(settled(in_order(some.join(sets, "id").select(*some.columns, "items")), p), "settled"))
+    component_of = classes.select("digest", F.col("id").alias("component"))
+    for found in (groups, more):
+        component_of = relabelled(component_of, "component", found)
     with_class = sigs.select("doc_id", "n_shingles", "digest").join(component_of, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return with_class.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
