@@ -1,10 +1,12 @@
 """Language identification by interpolated Kneser-Ney character language models.
 
-Training takes, for each language, the texts with the least hashes of their doc_id: ``TRAIN_DOCS`` of each language, fewer where there
+Training takes, for each language, the ``TRAIN_DOCS`` texts with the least hashes of their doc_id, fewer where there
 are many languages (``TRAIN_TOTAL`` in all). That bound is a parameter of the classifier; prediction covers all texts. Words are
+those between white space, in lower case, words of more than ``LONG_WORD`` characters in pieces, for training as for prediction. They are
 counted by language in Spark and come to the driver, which makes the models: for orders 1 to ``ORDER``, sorted arrays of n-gram
 hashes with the interpolated log-probability under every language, and of history hashes with the log-weights of backing off. Lower orders count
-different left neighbours, as Kneser and Ney have it. Words are seen with a boundary on both sides, and histories end there.
+different left neighbours, as Kneser and Ney have it, and occurrences where an n-gram begins a word, as nothing stands before it. Each order's
+discount is n1 / (n1 + 2 n2), from how many n-grams have count 1 and 2. Words are seen with a boundary on both sides, and histories end there.
 
 A text's score under a language is the cross-entropy per character of its words; the lowest wins, and equals go to the language that sorts
 first. A tenth of the training texts is kept from counting: on it the sharpness of ``score`` (the winner's share of the
@@ -24,13 +26,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import staged
-from .text import words
 
-ORDER, DISCOUNT = 4, 0.75
+ORDER, LEAST_DISCOUNT, MOST_DISCOUNT = 4, 0.1, 0.9
 TRAIN_DOCS, TRAIN_TOTAL, REJECT_PERCENT = 600, 4_000, 99
 MOST_WORDS, LONG_WORD = 300_000, 64
 EDGE = 1  # code of a word's boundary
@@ -60,6 +61,11 @@ def summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return unique, np.bincount(at, weights, len(unique))
 
 
+def discount_of(counts: np.ndarray) -> float:
+    once, twice = int((counts == 1).sum()), int((counts == 2).sum())
+    return min(max(once / max(once + 2 * twice, 1), LEAST_DISCOUNT), MOST_DISCOUNT)
+
+
 def one_language(names: list[str], counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For orders 1 to ORDER: n-gram hashes, their log-probabilities, history hashes, their log-weights of backing off."""
     codes, word, at = laid_out(names)
@@ -70,16 +76,17 @@ def one_language(names: list[str], counts: np.ndarray) -> list[tuple[np.ndarray,
     for n in range(1, ORDER + 1):
         use = grams[n]
         own, history, shorter = hashed(codes, n), np.roll(hashed(codes, n - 1), 1) if n > 1 else np.zeros(len(codes), np.uint64), hashed(codes, n - 1) if n > 1 else None
-        if n < ORDER:  # different left neighbours; an n-gram at a word's start has the boundary before that for one
-            longer = hashed(codes, n + 1)
-            left = np.where(at >= n, longer, own)
-            first = np.unique(np.stack([own[use], left[use]]), axis=1, return_index=True)[1]
-            pick = np.flatnonzero(use)[first]
-            value = np.ones(len(pick))
+        if n < ORDER:  # different left neighbours; an n-gram that begins a word has none and is counted
+            inner = np.flatnonzero(use & (at >= n))
+            first = np.unique(np.stack([own[inner], hashed(codes, n + 1)[inner]]), axis=1, return_index=True)[1]
+            begins = np.flatnonzero(use & (at == n - 1))
+            pick = np.concatenate([inner[first], begins])
+            value = np.concatenate([np.ones(len(first)), weight[begins]])
         else:
             pick = np.flatnonzero(use)
             value = weight[pick]
         keys, c = summed(own[pick], value)
+        discount = discount_of(c)
         where = np.zeros(len(keys), np.int64)
         where[np.searchsorted(keys, own[pick])] = pick
         h_keys, total = summed(history[pick], value)
@@ -89,9 +96,9 @@ def one_language(names: list[str], counts: np.ndarray) -> list[tuple[np.ndarray,
         if n > 1:
             k = np.minimum(np.searchsorted(below[0], shorter[where]), len(below[0]) - 1)
             lower = np.where(below[0][k] == shorter[where], below[1][k], 1.0 / alphabet)
-        p = np.maximum(c - DISCOUNT, 0) / total[h] + DISCOUNT * kinds[h] / total[h] * lower
+        p = np.maximum(c - discount, 0) / total[h] + discount * kinds[h] / total[h] * lower
         below = keys, p
-        out.append((keys, np.log(p), h_keys, np.log(DISCOUNT * kinds / total)))
+        out.append((keys, np.log(p), h_keys, np.log(discount * kinds / total)))
     return out
 
 
@@ -143,7 +150,11 @@ def together(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np
 
 
 def text_words(text: str) -> list[str]:
-    return text.lower().split()
+    """Words in lower case, long ones in pieces."""
+    found = text.lower().split()
+    if len(text) <= LONG_WORD or max(map(len, found), default=0) <= LONG_WORD:
+        return found
+    return [w[k : k + LONG_WORD] for w in found for k in range(0, len(w), LONG_WORD)]
 
 
 def has_letter(text: str | None) -> bool:
@@ -160,13 +171,7 @@ class Scorer:
         self.sizes = np.zeros(0, np.int64)
 
     def learn(self, names: list[str]) -> None:
-        pieces = [w if len(w) <= LONG_WORD else w[:LONG_WORD] for w in names]  # long words' later parts are added below
-        sums = self.models.score(pieces)
-        for i, w in enumerate(names):
-            if len(w) > LONG_WORD:
-                rest = [w[k : k + LONG_WORD] for k in range(LONG_WORD, len(w), LONG_WORD)]
-                for k in range(0, len(rest), 1000):
-                    sums[i] += self.models.score(rest[k : k + 1000]).sum(axis=0)
+        sums = self.models.score(names)
         start = len(self.at)
         self.at.update((w, start + i) for i, w in enumerate(names))
         self.sums = np.concatenate([self.sums, sums])
@@ -191,10 +196,30 @@ class Scorer:
         return out
 
 
-def in_pieces(word: Column) -> Column:
-    """The word in pieces of LONG_WORD characters at most, as ``Scorer`` has them."""
-    starts = F.sequence(F.lit(1), F.length(word), F.lit(LONG_WORD))
-    return F.when(F.length(word) <= LONG_WORD, F.array(word)).otherwise(F.transform(starts, lambda k: F.substr(word, k, F.lit(LONG_WORD))))
+def sampled(named: DataFrame, sizes: dict[str, int], bound: int) -> DataFrame:
+    """(text, lang, held): of each language the ``bound`` rows of ``named`` with the least hashes; a tenth is held."""
+    hashed_id = F.xxhash64(F.col("doc_id").cast("string"))
+    chance = F.call_function("shiftrightunsigned", hashed_id, F.lit(11)) / F.lit(float(1 << 53))
+    near = F.lit(False)
+    for lang, n in sizes.items():  # rows that may be among them: twice as many, and more of few
+        near |= (F.col("lang") == lang) & (chance < min(1.0, (2 * bound + 100) / n))
+    order = Window.partitionBy("lang").orderBy("chance", F.xxhash64("text"))
+    rows = named.where(near).withColumn("chance", chance).withColumn("at", F.row_number().over(order)).where(F.col("at") <= bound)
+    held = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(1)), F.lit(10)) == 0
+    return staged(rows.select("text", "lang", F.coalesce(held, F.lit(False)).alias("held")), "languages")
+
+
+def counted_words(sample: DataFrame) -> pa.Table:
+    """(lang, w, n) of the words in texts that are not held."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
+                own = Counter(text_words(text))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], ["lang", "w", "n"])
+
+    rows = sample.where(~F.col("held")).select("lang", "text").mapInArrow(each, "lang string, w string, n long")
+    return rows.groupBy("lang", "w").agg(F.sum("n").alias("n")).toArrow()
 
 
 def train(rows: DataFrame) -> Models | None:
@@ -205,14 +230,8 @@ def train(rows: DataFrame) -> Models | None:
         return None
     langs = sorted(sizes)
     bound = max(1, min(TRAIN_DOCS, TRAIN_TOTAL // len(langs)))
-    chance = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000))
-    take = F.lit(False)
-    for lang in langs:
-        take |= (F.col("lang") == lang) & (chance < -(-1_000_000 * bound // sizes[lang]))
-    held = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(1)), F.lit(10)) == 0
-    sample = staged(named.where(take).select("text", "lang", held.alias("held")), "languages")
-    word = F.explode(F.flatten(F.transform(words(F.lower("text")), in_pieces)))
-    counted = sample.where(~F.col("held")).select("lang", word.alias("w")).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    sample = sampled(named, sizes, bound)
+    counted = counted_words(sample)
     by_lang: dict[str, tuple[list[str], list[int]]] = {x: ([], []) for x in langs}
     for lang, w, n in zip(*[counted.column(c).to_pylist() for c in ("lang", "w", "n")], strict=True):
         by_lang[lang][0].append(w)

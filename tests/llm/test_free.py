@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -72,13 +73,69 @@ def test_language_models(documents):
     assert all(got[i].lang_pred == r[0] for i, _, r in rows)
     assert [got[i].lang_pred for i in (1000, 1001, 1002)] == ["und"] * 3 and all(0 <= r.score <= 1 for r in got.values())
     assert got[1005].lang_pred in models.langs
-    # probabilities of what may follow a history add up to one at most
-    keys, p, h, _ = language_id.one_language(["ab", "ac", "ab"], np.array([2, 1, 1]))[-1]
-    assert len(keys) and np.exp(p).max() <= 1
     assert language_id.train(df.where("lang is null")) is None
     assert {r.lang_pred for r in language_id.predict(df, None, ["doc_id"]).collect()} == {"und"}
 
 
+def brute_kneser_ney(names, counts):
+    """(probability of a character after a history, alphabet) by dictionaries, of words with boundaries."""
+    grams = {n: Counter() for n in range(1, language_id.ORDER + 1)}
+    left = {n: {} for n in grams}
+    for w, k in zip(names, counts, strict=True):
+        t = f"\x01{w}\x01"
+        for end in range(1, len(t)):
+            for n in grams:
+                if end - n + 1 >= 0:
+                    g = t[end - n + 1 : end + 1]
+                    grams[n][g] += k
+                    if end - n >= 0:
+                        left[n].setdefault(g, set()).add(t[end - n])
+    top = language_id.ORDER
+    own = {n: {g: k if n == top or (g[0] == "\x01" and n > 1) else len(left[n][g]) for g, k in grams[n].items()} for n in grams}
+    alphabet = sorted({c for w in names for c in w} | {"\x01"})
+    discount = {n: language_id.discount_of(np.array(list(own[n].values()))) for n in own}
+
+    def p(c, history):
+        n = len(history) + 1
+        lower = 1 / (len(alphabet) + 1) if n == 1 else p(c, history[1:])
+        total = sum(k for g, k in own[n].items() if g[:-1] == history)
+        if not total:
+            return lower
+        kinds = sum(g[:-1] == history for g in own[n])
+        return max(own[n].get(history + c, 0) - discount[n], 0) / total + discount[n] * kinds / total * lower
+
+    return p, alphabet
+
+
+def test_kneser_ney_by_brute_force():
+    names, counts = ["ka", "kb", "kc", "ta", "tatak", "é"], np.array([1000, 1000, 1000, 1, 2, 1])
+    p, alphabet = brute_kneser_ney(names, counts.tolist())
+    assert p("k", "\x01") > 0.9 > 0.1 > p("t", "\x01")  # not how many kinds of words begin with it, but how many words do
+    models = language_id.one_language(names, counts)
+    code = lambda g, n: language_id.hashed(np.array([ord(c) for c in g], np.uint32), n)[-1]
+    seen = 0
+    for w in names:
+        t = f"\x01{w}\x01"
+        for end in range(1, len(t)):
+            for n in range(1, min(language_id.ORDER, end + 1) + 1):
+                keys, logs = models[n - 1][:2]
+                g = t[end - n + 1 : end + 1]
+                at = np.searchsorted(keys, code(g, n))
+                assert keys[at] == code(g, n) and abs(np.exp(logs[at]) - p(g[-1], g[:-1])) < 1e-12, g
+                seen += 1
+    assert seen > 40
+    for history in ("", "\x01", "k", "\x01ta", "at"):
+        assert abs(sum(p(c, history) for c in alphabet) + p("\x02", history) - 1) < 1e-12  # the last stands for all others
+
+
+def test_language_sample_is_of_one_size(documents):
+    """However many texts there are, each language trains on the same number."""
+    df = documents([(i, f"t{i}", (("aa", "bb")[i % 2], "s")) for i in range(3000)])
+    sizes = {"aa": 1500, "bb": 1500}
+    got = Counter(r.lang for r in language_id.sampled(df, sizes, 100).collect())
+    assert got == {"aa": 100, "bb": 100}
+
+
 def test_language_of_long_words(documents):
     """A language without spaces is learned."""
     rng = random.Random(5)
