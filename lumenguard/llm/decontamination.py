@@ -9,8 +9,8 @@ window is missed. Steps:
 2. Each text, in its row: k-gram hashes are looked up in a bit table of the fingerprints; only where one hits are the
    selected k-grams worked out. Hits are extended to the windows around them, which must be in a second bit table, of
    window hashes. What is left, overlapping windows put together, are the text's runs. Nearly all texts have none.
-3. Runs are compared once for each distinct run, however many texts share it: its windows join the benchmark's by their
-   words, so the answer is exact and the bit tables only save work.
+3. Runs are compared once for each distinct run, however many texts share it: its fingerprints are joined with the benchmark's,
+   and windows around those that meet are compared by their words, so the answer is exact and the bit tables only save work.
 4. Results go back to the texts by run.
 
 The bit tables have 16 bits for each entry and at most ``MOST_BITS`` bits; beyond, they let more pass and nothing else changes.
@@ -22,6 +22,8 @@ Other columns don't matter. Work in a row is linear in the length of the text.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,17 +119,24 @@ def runs(ws: Column, spans: Column) -> Column:
     return F.transform(F.filter(parts, lambda r: r.s >= 0), lambda r: F.array_join(F.slice(ws, r.s + 1, r.e - r.s), " "))
 
 
+def printed(windows: DataFrame, sizes: list[int]) -> DataFrame:
+    """``windows`` (with size and window) and the fingerprint of each as ``print``."""
+    parts = [windows.where(F.col("size") == size).withColumn("print", least_hash(F.split("window", " "), size)) for size in sizes]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def run_results(distinct_runs: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
-    """(run, n_hit, items) of the runs with a benchmark's window in them."""
+    """(run, n_hit, items) of the runs with a benchmark's window in them.
+
+    Fingerprints of runs are joined with the benchmark's; where one meets, the windows that selected it are compared by their words."""
     split = distinct_runs.select("run", F.split("run", " ").alias("ws"))
     parts = []
     for size in sizes:
         starts = F.sequence(F.lit(0), F.size("ws") - size)
         each = F.posexplode(texts_at(F.col("ws"), starts, size)).alias("s", "window")
         parts.append(split.where(F.size("ws") >= size).select("run", each).withColumn("size", F.lit(size)))
-    rows = parts[0]
-    for x in parts[1:]:
-        rows = rows.unionByName(x)
+    prints = printed(windows, sizes).select("size", "print").distinct()
+    rows = printed(reduce(DataFrame.unionByName, parts), sizes).join(prints, ["size", "print"], "left_semi")
     own = windows.groupBy("size", "window").agg(F.collect_set("item_id").alias("items"))
     hits = rows.join(own, ["size", "window"])
     spans = F.sort_array(F.collect_list(F.struct("s", (F.col("s") + F.col("size")).alias("e"))))
