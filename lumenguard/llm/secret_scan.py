@@ -11,8 +11,7 @@ rows. Rows with secrets are joined by secret with one row for each secret; Spark
 
 Nulls: a null text is empty. A null owner or repository counts as one more value. An empty table gives an empty result.
 Rows with equal doc_id and equal text are one document in the result. Positions are code points, ends exclusive. Other
-columns don't matter. Work in a row is linear in the text, and in addition quadratic in its number of matches (of copying
-one reference each).
+columns don't matter. Work in a row is linear in the text and its matches.
 """
 
 from __future__ import annotations
@@ -22,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.masks import redact_ranges
+from ..functions.spans import scan as in_blocks
 from .store import staged
 from .text import let
 
@@ -67,15 +68,13 @@ def placed(found: Column, text: Column, kind: Kind, order: int) -> Column:
     gaps = F.split(text, kind.pattern, -1)
     secrets = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(kind.secret)) if kind.secret else found
     rows = F.zip_with(F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m"))), secrets, lambda x, v: F.struct(x.g.alias("g"), x.m.alias("m"), v.alias("v")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
 
-    def take(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(x["g"])
+    def take(at: Column, x: Column) -> tuple[Column, Column]:
+        s = at + F.length(x["g"])
         e = s + F.length(x["m"])
-        one = F.struct(F.lit(order).alias("k"), s.alias("s"), e.alias("e"), x["v"].alias("v"))
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        return e, F.array(F.struct(F.lit(order).alias("k"), s.alias("s"), e.alias("e"), x["v"].alias("v")))
 
-    return F.filter(F.aggregate(rows, start, take, lambda acc: acc["out"]), lambda x: F.length(x.v) >= kind.least)
+    return F.filter(in_blocks(rows, F.lit(0), take, SPAN)["out"], lambda x: F.length(x.v) >= kind.least)
 
 
 def as_text(spans: Column) -> Column:
@@ -118,12 +117,5 @@ def scan(docs: DataFrame, owner: Column, repository: Column, example_owners: int
 
 
 def masked(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """``text`` with each span, overlapping ones put together, replaced by ``mark``."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def take(acc: Column, x: Column) -> Column:
-        out = F.when(x["s"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark)))
-        return F.struct(out.alias("out"), F.greatest(acc["at"], x["e"]).alias("at"))
-
-    ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x.s.alias("s"), x.e.alias("e"))))
-    return F.aggregate(ordered, start, take, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    """``text`` with each span, overlapping and touching ones put together, replaced by ``mark``."""
+    return redact_ranges(text, F.transform(spans, lambda x: F.struct(x.s.alias("start"), x.e.alias("end"))), mark)
