@@ -6,11 +6,12 @@ by page_id. Each task sorts its captures by URL key and time and writes them, on
 shared folder, through the file system that the folder's address names. Its index rows are a locally sorted run. Runs are written as a table,
 and only archives that it names count, so what a lost or repeated task left behind is never read.
 
-Index: runs are dealt by ranges of (URL key, time, page_id), so a URL with very many captures takes several ranges. Each range
-has a slice of every run, still sorted, and merges them by a tree of losers. Ranges follow one another, and with their sizes summed
+Index: runs are dealt by ranges of (URL key, time, page_id), so a URL with very many captures takes several ranges; there are enough of them
+for about ``RANGE_ROWS`` rows each at most, whatever the size of the index. Each range has a slice of every run, still sorted, in
+columns, and merges them by a tree of losers that has a few rows of each slice as objects at a time. Ranges follow one another, and with their sizes summed
 every capture gets its place in the global order and in the history of its URL.
 
-Reading goes through the archives member by member.
+Reading goes through the archives member by member, archives dealt over all tasks.
 
 Nulls: a null html is an empty payload; a null url is archived without target and has an empty key; a null page_id is written as ``null`` and is
 a response. Rows with equal page_id and payload are both what that page is. Empty pages give an empty result. Other columns don't matter. An archive
@@ -26,8 +27,10 @@ import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,6 +38,7 @@ from pyspark.sql import functions as F
 from .store import new_path, staged
 from .url_filter import after_scheme, host_of, path_of
 
+RANGE_ROWS, MERGE_BATCH = 500_000, 2_000
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ID = re.compile(rb"<urn:x-page:(-?\d+|null)>")
 INDEX = "url_key string, captured long, page_id long, record_type string, digest string, file string, offset long, length long"
@@ -149,25 +153,31 @@ def merged(index: DataFrame) -> DataFrame:
     """The index in global order: with ``place`` from 0, and ``capture_no`` from 1 in the history of its URL key."""
     names = [x.split()[0] for x in INDEX.split(", ")]
 
+    def rows_of(run: pa.Table) -> Iterator[tuple]:
+        for b in run.to_batches(max_chunksize=MERGE_BATCH):  # a run's rows become objects a few at a time
+            yield from zip(*[b.column(c).to_pylist() for c in names], strict=True)
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [b for b in batches if b.num_rows]
         if not tables:
             return
         rows = pa.Table.from_batches(tables)
         part = rows.column("part")[0].as_py()
-        runs: dict[str, list[tuple]] = {}
-        for row in zip(*[rows.column(c).to_pylist() for c in names], strict=True):
-            runs.setdefault(row[5], []).append(row)  # rows come by run, each in its order
-        out = list(LoserTree([iter(r) for r in runs.values()], sort_key))
-        columns = [pa.array(c, rows.schema.field(n).type) for c, n in zip(zip(*out, strict=True), names, strict=True)]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array([part] * len(out), pa.int32()), pa.array(range(len(out)), pa.int64())], [*names, "part", "at"])
-
-    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        files = rows.column("file").combine_chunks()
+        cuts = [0, *(pc.indices_nonzero(pc.not_equal(files[1:], files[:-1])).to_numpy() + 1).tolist(), len(files)]  # rows come by run, each in its order
+        tree = iter(LoserTree([rows_of(rows.slice(s, e - s)) for s, e in zip(cuts, cuts[1:], strict=False)], sort_key))
+        at = 0
+        while out := list(islice(tree, MERGE_BATCH)):
+            columns = [pa.array(c, rows.schema.field(n).type) for c, n in zip(zip(*out, strict=True), names, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([part] * len(out), pa.int32()), pa.array(range(at, at + len(out)), pa.int64())], [*names, "part", "at"])
+            at += len(out)
+
+    parts = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-index.count() // RANGE_ROWS))
     slices = index.repartitionByRange(parts, "url_key", "captured", "page_id").sortWithinPartitions("file", "offset")
     rows = staged(slices.withColumn("part", F.spark_partition_id()).mapInArrow(each, f"{INDEX}, part int, at long"), "captures")
     sums = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row for each range
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    placed = rows.join(F.broadcast(sums.select("part", before.alias("b"))), "part").withColumn("place", F.col("b") + F.col("at"))
+    placed = rows.join(sums.select("part", before.alias("b")), "part").withColumn("place", F.col("b") + F.col("at"))
     starts = placed.groupBy("url_key").agg(F.min("place").alias("f"))
     return placed.join(starts, "url_key").select(*names, "place", (F.col("place") - F.col("f") + 1).alias("capture_no"))
 
@@ -224,9 +234,9 @@ def read(spark: SparkSession, index: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield batch(rows)
 
-    files = index.select("file").distinct()
+    files = staged(index.select("file").distinct(), "files")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return files.repartition(parts, "file").mapInArrow(each, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return files.repartition(parts).mapInArrow(each, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archived_and_read(pages: DataFrame, captured: Column, least_revisit: int = 0) -> tuple[DataFrame, DataFrame]:
