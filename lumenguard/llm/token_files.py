@@ -208,7 +208,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     sums = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
     offsets = sums.select("part", before.alias("before"))
-    return rows.join(F.broadcast(offsets), "part").withColumn("start", F.col("before") + F.col("local_start")).drop("before")
+    return rows.join(offsets, "part").withColumn("start", F.col("before") + F.col("local_start")).drop("before")
 
 
 def lookup(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
