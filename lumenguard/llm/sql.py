@@ -188,8 +188,8 @@ p AS (SELECT *, {_HOST} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS
 t AS (SELECT DISTINCT page_id, url, unnest({_TOKENS}) AS tok FROM p WHERE url IS NOT NULL),
 l AS (SELECT page_id, bool_or(toxic = 1 OR quality = 0) AS bad FROM p JOIN labels ON doc_id = try_cast(regexp_extract(path, '/([0-9]{{1,18}})(?:[^0-9]|$)', 1) AS BIGINT) GROUP BY page_id),
 least_n AS (SELECT greatest(20, ceil(count(*) * 2 / 1000.0)) AS m FROM l),
-f AS (SELECT tok, count(*) AS n FROM t JOIN l USING (page_id), least_n GROUP BY tok, m HAVING count(*) >= m),
-top AS (SELECT page_id, bad, tok FROM t JOIN l USING (page_id) JOIN f USING (tok) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY n, tok) <= 10),
+f AS (SELECT tok FROM t JOIN l USING (page_id), least_n WHERE bad GROUP BY tok, m HAVING count(*) >= m),
+top AS (SELECT page_id, bad, tok FROM t JOIN l USING (page_id) JOIN f USING (tok)),
 s AS (SELECT toks, count(*) AS n, count(*) FILTER (WHERE bad) AS n_bad FROM ({_SETS}) GROUP BY toks),
 sure AS (SELECT toks, n, n_bad FROM s, least_n WHERE n_bad >= m AND n_bad * 100 >= n * 60),
 rules AS (SELECT * FROM sure x WHERE NOT EXISTS (SELECT 1 FROM sure y WHERE len(y.toks) < len(x.toks) AND list_has_all(x.toks, y.toks) AND y.n_bad * x.n >= x.n_bad * y.n)),
