@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own only where it is unset, as in tests."""
+    """``spark.checkpoint.dir`` of the session. Where it is unset, a folder of our own in local mode, as in tests; on a cluster executors would not share it."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="lumenguard-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -32,3 +34,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def staged_bytes(spark: SparkSession, df: DataFrame) -> int:
     """Optimizer's size estimate of a staged table, which for files is their size on disk."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def remove_staged(spark: SparkSession) -> None:
+    """Delete all tables that were staged in the session's shared folder. Results read them lazily, so only when these are written or no longer needed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lumenguard")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
