@@ -45,9 +45,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
+    """Documents with a benchmark's window go, however long they are: a passage in a long text is as much of a leak."""
     found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
-    gone = found.where("contaminated").select(F.col("doc_id").alias("__lg_gone_id"), F.col("words_key").alias("__lg_gone_key"))
+    gone = found.where("n_hit > 0").select(F.col("doc_id").alias("__lg_gone_id"), F.col("words_key").alias("__lg_gone_key"))
     words_key = decontamination.words_key(F.col("text"))
     on = F.col("doc_id").eqNullSafe(F.col("__lg_gone_id")) & (words_key == F.col("__lg_gone_key"))
     return docs.join(gone, on, "left_anti")
