@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import argparse
+import os
+import stat
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,17 @@ def scanned(inputs: DataFrame) -> DataFrame:
     return done.withColumn("verdict", F.when(F.col("length") == 0, "EMPTY").otherwise(input_verdict(F.col("result"))))
 
 
+def unread_stdin() -> str | None:
+    """What standard input holds when only files are named, told without reading: ``content`` of a file, or a ``stream``."""
+    try:
+        mode = os.fstat(0)
+    except OSError:
+        return None
+    if stat.S_ISREG(mode.st_mode):
+        return "content" if mode.st_size else None
+    return "stream" if stat.S_ISFIFO(mode.st_mode) or stat.S_ISSOCK(mode.st_mode) else None
+
+
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="lumenguard")
     parser.add_argument("command", choices=["scan"])
@@ -30,6 +43,11 @@ def main(args: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("lumenguard").getOrCreate()
     named = [f for f in a.files if f != "-"]
     try:
+        if named and "-" not in a.files:
+            if (held := unread_stdin()) == "content":
+                raise sources.UsageError("standard input has content, but only files are named; add '-' to scan it, too")
+            if held == "stream":
+                print("lumenguard: standard input is not read, as files are named", file=sys.stderr)
         inputs = sources.files(spark, named) if named else None
         if not named or "-" in a.files:
             own = sources.text(spark, sys.stdin.read())
@@ -42,7 +60,7 @@ def main(args: list[str] | None = None) -> int:
         if a.quiet:
             print(worst["verdict"])
         else:
-            texts = [r["json"] for r in report.json_rows(done, "path", "length", "text", "result").toLocalIterator()]
+            texts = [r["json"] for r in report.json_rows(done.orderBy("path"), "path", "length", "text", "result").toLocalIterator()]
             print("\n".join(texts) if a.json else report.human_from_json(texts, worst["verdict"]))
         return worst["exit_code"]
     except Exception as e:  # noqa: BLE001  whatever it is, the exit code says that there is no answer

@@ -72,7 +72,7 @@ def _without(text: Column, pattern: str) -> Column:
 
     def placed(out: Column) -> Column:
         removed = F.length(text) - F.length(out)
-        places = F.when(removed > 0, kept_places(text, find(text, pattern)))
+        places = F.when(removed > 0, let(find(text, pattern), lambda spans: kept_places(text, spans)))
         return F.struct(out.alias("text"), places.alias("map"), removed.alias("removed"))
 
     return let(F.regexp_replace(text, pattern, ""), placed)

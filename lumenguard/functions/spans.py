@@ -20,13 +20,18 @@ def none_of(kind: str) -> Column:
     return F.array().cast(f"array<{kind}>")
 
 
-BLOCK = 256
+BLOCK = 64
+
+
+def cut(xs: Column, size: int) -> Column:
+    """``xs`` in parts of ``size`` elements; an empty one is one empty part."""
+    last = F.greatest(F.floor((F.size(xs) - 1) / size), F.lit(0)).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(xs, i * size + 1, size))
 
 
 def scan(rows: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]], out: str) -> Column:
     """(state, out) after going through ``rows``: ``step`` gives the next state and an array of what a row adds to ``out``, whose
     elements are of that type. A list that grows by one is copied each time, so rows are taken in blocks, and lists are put together by block."""
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(rows) - 1) / BLOCK), F.lit(0)).cast("int")), lambda i: F.slice(rows, i * BLOCK + 1, BLOCK))
 
     def one(acc: Column, x: Column) -> Column:
         after, added = step(acc["state"], x)
@@ -36,8 +41,12 @@ def scan(rows: Column, state: Column, step: Callable[[Column, Column], tuple[Col
         done = F.aggregate(xs, F.struct(acc["state"].alias("state"), none_of(out).alias("out")), one)
         return let(done, lambda d: F.struct(d["state"].alias("state"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
 
-    start = F.struct(state.alias("state"), none_of(f"array<{out}>").alias("out"))
-    return F.aggregate(blocks, start, block, lambda acc: F.struct(acc["state"].alias("state"), F.flatten(acc["out"]).alias("out")))
+    def through(xs: Column) -> Column:
+        blocks = F.flatten(F.transform(cut(xs, BLOCK * BLOCK), lambda big: cut(big, BLOCK)))  # a slice goes through its array from the start
+        start = F.struct(state.alias("state"), none_of(f"array<{out}>").alias("out"))
+        return F.aggregate(blocks, start, block, lambda acc: F.struct(acc["state"].alias("state"), F.flatten(acc["out"]).alias("out")))
+
+    return let(rows, through)
 
 
 def placed(text: Column, found: Column, pattern: str | Column, group: int = 0) -> Column:

@@ -14,6 +14,7 @@ from ..functions import dual
 from ..functions import normalize as N
 from ..functions import pack
 from ..functions.spans import none_of
+from . import isolation
 from .scan import VIOLATION, across_views
 
 
@@ -44,15 +45,16 @@ def expressions(text: str, patterns: tuple[pack.Pattern, ...]) -> tuple[str, str
 
 
 def classify(df: DataFrame, text: str, out: str = "result", guard: Column | None = None, patterns: tuple[pack.Pattern, ...] = pack.PATTERNS) -> DataFrame:
-    """``df`` with a result struct. ``guard`` is a column with a struct (verdict, violations), null where no guard answered."""
+    """``df`` with a result struct; patterns that cannot run are left out and reported as findings and by id. ``guard`` is a column with a struct (verdict, violations), null where no guard answered."""
     if dict(df.dtypes).get(text) != "string":
         raise TypeError(f"{text}: a string column is needed, not {dict(df.dtypes).get(text)}")
     version, sha = pack.identity(patterns)
     c = F.col(text)
-    views, findings = expressions(text, tuple(patterns))
+    bad = isolation.unevaluated(tuple(patterns))
+    views, findings = expressions(text, tuple(p for p in patterns if p.id not in bad))
     folded = df.withColumn("_folded", N.nfkc(F.when(c != "", c)))
     viewed = folded.withColumn("_views", F.when(c != "", F.expr(views)))
-    scanned = viewed.withColumn("_regex", F.when(c != "", F.expr(findings)).when(c == "", none_of(VIOLATION)))
+    scanned = viewed.withColumn("_regex", F.when(c != "", F.concat(F.expr(findings), isolation.findings(bad)) if bad else F.expr(findings)).when(c == "", none_of(VIOLATION)))
     answer = guard if guard is not None else F.lit(None).cast(f"struct<verdict:string,violations:array<{VIOLATION}>>")
     accepted = answer.isNotNull() & (c != "")
     verdict = merge_verdicts(regex_verdict(F.col("_regex")), F.when(accepted, answer["verdict"]))
@@ -67,6 +69,7 @@ def classify(df: DataFrame, text: str, out: str = "result", guard: Column | None
         F.coalesce(F.col("_views.steps"), none_of(N.STEP)).alias("normalizations"),
         F.struct(F.lit(version).alias("version"), F.lit(sha).alias("sha256")).alias("pack"),
         F.when(c == "", none_of("string")).otherwise(F.concat(F.array(F.lit("normalize"), F.lit("regex")), F.when(accepted, F.array(F.lit("guard"))).otherwise(none_of("string")))).alias("layers"),
+        F.when(c != "", F.array(*map(F.lit, bad)) if bad else F.lit(None)).cast("array<string>").alias("unevaluated_patterns"),
     )
     return scanned.withColumn(out, F.when(c.isNotNull(), result)).drop("_folded", "_views", "_regex")
 

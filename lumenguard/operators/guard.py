@@ -1,6 +1,7 @@
 """Answers of a semantic guard: checked, mapped to findings, and asked for only where a client is given."""
 
 import json
+import socket
 import urllib.request
 from collections.abc import Callable, Iterator
 
@@ -54,6 +55,23 @@ def http_client(url: str, timeout_ms: int = 5_000) -> Callable[[str], str | None
     return ask
 
 
+def socket_client(path: str, timeout_ms: int = 5_000) -> Callable[[str], str | None]:
+    """Sends a text as a line of JSON to a Unix socket and reads a line back; null for any failure. A socket lives on one machine: for local mode, or a guard on every node."""
+
+    def ask(text: str) -> str | None:
+        try:
+            with socket.socket(socket.AF_UNIX) as s:
+                s.settimeout(timeout_ms / 1000)
+                s.connect(path)
+                s.sendall(json.dumps({"input": text}).encode() + b"\n")
+                line = s.makefile("rb").readline()
+                return line.decode() if line.endswith(b"\n") else None
+        except (OSError, ValueError):
+            return None
+
+    return ask
+
+
 def healthy(url: str, timeout_ms: int = 200) -> bool:
     try:
         with urllib.request.urlopen(f"{url}/health", timeout=timeout_ms / 1000) as r:

@@ -44,3 +44,18 @@ def conformance(results: DataFrame, cases: DataFrame) -> DataFrame:
 
 def duplicate_ids(cases: DataFrame) -> DataFrame:
     return cases.groupBy("id").count().where("count > 1")
+
+
+def conformance_record(outcomes: DataFrame, pack_version: str, pack_sha256: str, most: int = 20) -> DataFrame:
+    """One row about ``conformance`` outcomes: versions, how many cases there were and passed, and the first ``most`` failing ids in order."""
+    spark = outcomes.sparkSession
+    failed = outcomes.where(~F.col("passed")).orderBy("id").limit(most).agg(F.array_sort(F.collect_list("id")).alias("failures"))
+    counts = outcomes.agg(F.count(F.lit(1)).alias("cases"), F.count_if("passed").alias("passed"))
+    named = counts.select(F.lit("pyspark").alias("runtime"), F.lit(spark.version).alias("runtime_version"), F.lit(pack_version).alias("pack_version"), F.lit(pack_sha256).alias("pack_sha256"), "cases", "passed")
+    return named.join(failed)  # one row each
+
+
+def percentiles(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
+    """p50, p95 and p99 of ``value`` by nearest rank, in all or by ``keys``; mergeable, so no group is sorted in one task."""
+    at = lambda p: F.percentile_approx(value, p, 1_000_000).alias(f"p{round(p * 100)}")
+    return df.groupBy(*(keys or [])).agg(at(0.5), at(0.95), at(0.99))

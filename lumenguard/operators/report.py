@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.masks import line_column
+from ..functions.shown import not_evaluated_lines
 from .classify import severity
 
 MASK, MOST_LISTED = "•••", 50
@@ -32,7 +33,7 @@ def json_rows(df: DataFrame, source: str, size: str, text: str, result: str) ->
     """One JSON text for each input."""
     r = F.col(result)
     finding = lambda v: F.struct(v.type.alias("type"), F.lit(MASK).alias("maskedValue"), v.confidence.alias("confidence"), v.classifier.alias("classifier"), v.view.alias("view"), line_column(F.col(text), v.original_start)["line"].alias("line"), line_column(F.col(text), v.original_start)["column"].alias("column"))
-    return df.select(F.to_json(F.struct(F.col(source).alias("source"), F.col(size).alias("bytes"), r["verdict"].alias("verdict"), r["guard"].isNotNull().alias("guardActive"), r["layers"].alias("layers"), F.transform(r["violations"], finding).alias("findings"))).alias("json"))
+    return df.select(F.to_json(F.struct(F.col(source).alias("source"), F.col(size).alias("bytes"), r["verdict"].alias("verdict"), r["guard"].isNotNull().alias("guardActive"), r["layers"].alias("layers"), r["unevaluated_patterns"].alias("notEvaluated"), F.transform(r["violations"], finding).alias("findings"))).alias("json"))
 
 
 def wire(result: Column) -> Column:
@@ -52,13 +53,14 @@ def human(rows: list[dict], verdict: str) -> str:
     lines = []
     for r in rows:
         lines.append(f"{r['source']}: {r['verdict']}")
-        found = r["findings"]
+        found = [f for f in r["findings"] if not f["type"].startswith("PATTERN_NOT_EVALUATED")]
         lines += [f"  {f['line']}:{f['column']} {f['type']} {MASK} ({f['confidence']:.2f})" if f.get("line") else f"  - {f['type']} {MASK}" for f in found[:MOST_LISTED]]
         rest: dict[str, int] = {}
         for f in found[MOST_LISTED:]:
             rest[f["type"]] = rest.get(f["type"], 0) + 1
         if rest:
             lines.append("  ... " + ", ".join(f"{n} more {t}" for t, n in sorted(rest.items(), key=lambda x: -x[1])))
+        lines += not_evaluated_lines(r.get("notEvaluated") or [])
     return "\n".join([*lines, f"Verdict: {verdict}"])
 
 

@@ -25,6 +25,11 @@ def sensitivity(level: Column) -> Column:
     return F.when(level == 1, 1.35).when(level == 2, 1.15).when(level == 3, 1.0).when(level == 4, 0.8).otherwise(1.0)
 
 
+def behavioural(agent: Column) -> Column:
+    """A behavioural-risk answer for an agent: the service behind it states one score for all. Null without an agent."""
+    return F.when(agent.isNotNull(), F.struct(agent.alias("agent_id"), F.lit(50).alias("risk_score")))
+
+
 def assembled(level: Column, signals: Column) -> Column:
     """(signals, aggregate_score, recommendation) of signals (name, score)."""
     score = aggregate_score(level, F.transform(signals, lambda s: s.score))

@@ -6,10 +6,12 @@ overlapping findings with one value the first stays. Offsets are code points and
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, Window
 
 from ..functions import pack
-from ..functions.dual import F
+from ..functions.dual import F, as_text
 from ..functions.masks import mask
 from ..functions.spans import find, let, none_of, placed, scan
 from ..functions.validators import VALIDATORS
@@ -143,6 +145,13 @@ def scan_text(text: Column, patterns: tuple[pack.Pattern, ...] = pack.PATTERNS)
     return let(plain_view(F.coalesce(text, F.lit(""))), lambda v: violations(v, patterns))
 
 
+@lru_cache(maxsize=16)
+def scan_sql(text: str, patterns: tuple[pack.Pattern, ...] = pack.PATTERNS) -> str:
+    """``scan_text`` of the column ``text`` as SQL, which is made once."""
+    with as_text():
+        return scan_text(F.col(text), patterns).sql
+
+
 def finding_key(v: Column, has_map: Column) -> Column:
     base = F.concat(v.type, F.lit("@"), v.original_start.cast("string"), F.lit("-"), v.original_end.cast("string"))
     return F.when(has_map, base).otherwise(F.concat(base, F.lit("#"), v.view, F.lit(":"), v.start.cast("string"), F.lit("-"), v.end.cast("string")))

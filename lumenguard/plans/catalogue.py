@@ -13,6 +13,7 @@ from ..functions import validators as V
 from ..functions.spans import find
 from ..operators import guard, metrics, policy, registry, report, risk, scan, signature
 from ..operators.classify import classify, merge_verdicts, regex_verdict, types_of, worst_verdict
+from ..sources import spread
 from . import derived
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,7 +114,7 @@ def _all_findings(names: tuple[str, ...] = _MIXED_IDS) -> str:
 
 
 def mixed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(spark, sf_dir).withColumn("violations", scan.scan_text(F.col("text")))
+    return mixed(spark, sf_dir).withColumn("violations", F.expr(scan.scan_sql("text")))
 
 
 @query("findings_ordered", f'{_all_findings()} SELECT key, (row_number() OVER (PARTITION BY key ORDER BY conf DESC, idx, s) - 1)::int AS pos, type, {derived.mask("v")} AS value, s AS start, e AS "end", conf AS confidence FROM all_f')
@@ -287,7 +288,7 @@ def cross_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("comply_full_result")
 def comply_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = classify(table(spark, sf_dir, "documents"), "text")
+    done = classify(spread(table(spark, sf_dir, "documents")), "text")
     r = F.col("result")
     return done.select("doc_id", r["verdict"].alias("verdict"), F.to_json(r["violations"]).alias("violations"), F.to_json(r["normalizations"]).alias("normalizations"), F.array_join(r["layers"], ",").alias("layers"))
 
@@ -414,3 +415,6 @@ def findings_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windowed counts as a batch; the streaming form is in ``lumenguard.streaming``."""
     rows = table(spark, sf_dir, "events").where(F.col("props").rlike("[0-9]{2}"))
     return rows.groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("hour"), "n")
+
+
+from . import cases  # noqa: E402, F401  registers its queries here

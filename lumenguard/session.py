@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -56,16 +57,18 @@ def comply(
 
 
 class Session:
-    """Holds a registry's tables; they are loaded on first use and again when older than ``ttl_ms``."""
+    """Holds a registry's tables; they are loaded on first use and again when older than ``ttl_ms``. Threads that ask at once wait for one load."""
 
     def __init__(self, load: Callable[[], R.Registry], now: Callable[[], int], ttl_ms: int = 300_000) -> None:
         self._load, self._now, self._ttl = load, now, ttl_ms
         self._held: tuple[R.Registry, int] | None = None
+        self._loading = threading.Lock()
 
     def registry(self) -> R.Registry:
-        if self._held is None or self._now() - self._held[1] > self._ttl:
-            self._held = self._load(), self._now()
-        return self._held[0]
+        with self._loading:
+            if self._held is None or self._now() - self._held[1] > self._ttl:
+                self._held = self._load(), self._now()
+            return self._held[0]
 
     def clear(self) -> None:
         self._held = None

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shown import files_glob, show_string
+
 CASES = "id string, input string, expect struct<types:array<string>,verdict:string,violations:array<struct<type:string,value:string,start:int,end:int,confidence:double,view:string,originalStart:int,originalEnd:int>>>, origin string, fixture string, note string"
 CORPUS = "class string, label string, text string, variant string"
 
@@ -30,15 +34,35 @@ def decode_input(content: Column) -> Column:
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores where the input has fewer parts than there are, as a small file of one row group has; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(path, length, text), one row for each file; a file that can't be read ends the query."""
     if not paths:
         raise UsageError("no input")
+    for path in paths:
+        refuse_unreadable(path)
     raw = spark.read.format("binaryFile").load(paths)
     empty = spark.createDataFrame([(p, 0, "") for p in empty_files(spark, paths)], "path string, length long, text string")  # which Spark leaves out
     return raw.where("length > 0").select("path", "length", decode_input(F.col("content")).alias("text")).unionByName(empty)
 
 
+def refuse_unreadable(path: str) -> None:
+    """An error with what to do, for a local path that is a folder or may not be read. Other addresses are Spark's to judge."""
+    if "://" in path or not os.path.exists(path):
+        return
+    if os.path.isdir(path):
+        raise UsageError(f"{show_string(path, chr(39))} is a directory, and directories are not scanned. Name the files in it: {files_glob(path)}")
+    if not os.access(path, os.R_OK):
+        raise UsageError(f"cannot read {show_string(path, chr(39))}: permission denied")
+    if os.path.getsize(path) >= 1 << 31:
+        raise UsageError(f"cannot read {show_string(path, chr(39))}: it is 2 GiB or larger")
+
+
 def empty_files(spark: SparkSession, paths: list[str]) -> list[str]:
     """Files without a byte among ``paths`` and directly in those that are folders."""
     jvm, conf, found = spark._jvm, spark._jsc.hadoopConfiguration(), []
