@@ -48,6 +48,8 @@ def main(args: list[str] | None = None) -> int:
                 raise sources.UsageError("standard input has content, but only files are named; add '-' to scan it, too")
             if held == "stream":
                 print("lumenguard: standard input is not read, as files are named", file=sys.stderr)
+        for f in named:
+            sources.refuse_unreadable(f)
         inputs = sources.files(spark, named) if named else None
         if not named or "-" in a.files:
             own = sources.text(spark, sys.stdin.read())

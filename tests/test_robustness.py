@@ -112,7 +112,7 @@ def test_messages():
 
 def test_inputs_that_cannot_be_read(spark, tmp_path):
     with pytest.raises(sources.UsageError, match="is a directory"):
-        sources.files(spark, [str(tmp_path)])
+        sources.refuse_unreadable(str(tmp_path))
     held = os.dup(0)
     try:
         (tmp_path / "in").write_text("x")
