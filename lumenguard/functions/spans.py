@@ -16,6 +16,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(value: Column) -> Column:
+    """``value`` for a column of its own that later filters do not look through: Spark would put what makes the column into each of them, and work it out again."""
+    return F.explode(F.array(value))
+
+
 def none_of(kind: str) -> Column:
     return F.array().cast(f"array<{kind}>")
 

@@ -282,7 +282,7 @@ def cross_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SSNs, every second one spaced out; the other numbers of the text make a compact view as well, where the plain ones must not be found again."""
     a, b = derived._pad("c_custkey * 37 % 1000", 3), derived._pad("c_custkey * 7919 % 10000", 4)
     text = F.expr(f"concat('n 1 2 ', case when c_custkey % 2 = 0 then concat('x', ' ', {a}, ' - 45 - ', {b}) else concat('x ', {a}, '-45-', {b}) end, ' y')")
-    done = classify(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), text.alias("text")), "text")
+    done = classify(spread(table(spark, sf_dir, "customer")).select(F.col("c_custkey").alias("key"), text.alias("text")), "text")
     return done.select("key", F.explode("result.violations").alias("v")).where("v.type = 'SSN'").groupBy("key", F.col("v.view").alias("view")).agg(F.count(F.lit(1)).alias("n"))
 
 

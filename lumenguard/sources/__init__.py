@@ -13,6 +13,9 @@ CASES = "id string, input string, expect struct<types:array<string>,verdict:stri
 CORPUS = "class string, label string, text string, variant string"
 
 
+PARTS_PER_CORE = 3
+
+
 class UsageError(ValueError):
     """Nothing to scan."""
 
@@ -35,9 +38,11 @@ def decode_input(content: Column) -> Column:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt over all cores where the input has fewer parts than there are, as a small file of one row group has; larger inputs stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    """Rows of files dealt evenly over a few parts for each core, for work that costs more than moving them. How many parts Spark cuts
+    a file into tells nothing: one of them reads all rows of a row group, and the others are empty. Inputs of many files stay as they are.
+    Parts are not many, as each task takes a few tenths of a second to unpack the expressions of the rule pack."""
+    parts = PARTS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= parts else df.repartition(parts)
 
 
 def files(spark: SparkSession, paths: list[str]) -> DataFrame:
