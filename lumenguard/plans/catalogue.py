@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import masks, pack
 from ..functions import normalize as N
 from ..functions import validators as V
-from ..functions.spans import find
+from ..functions.spans import find, once
 from ..operators import guard, metrics, policy, registry, report, risk, scan, signature
 from ..operators.classify import classify, merge_verdicts, regex_verdict, types_of, worst_verdict
 from ..sources import spread
@@ -38,7 +38,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def derived_text(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """(key, text) of a derived column."""
     source, key, text = derived.TEXTS[name]
-    return table(spark, sf_dir, source).select(F.col(key).alias("key"), F.expr(text).alias("text"))
+    return spread(table(spark, sf_dir, source)).select(F.col(key).alias("key"), F.expr(text).alias("text"))
 
 
 def derived_sql(name: str) -> str:
@@ -97,7 +97,7 @@ MIXED = (
 
 
 def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.expr(MIXED).alias("text"), "c_nationkey", "c_mktsegment")
+    return spread(table(spark, sf_dir, "customer")).select(F.col("c_custkey").alias("key"), F.expr(MIXED).alias("text"), "c_nationkey", "c_mktsegment")
 
 
 _MIXED_IDS = ("ssn", "pan", "mrn", "npi")
@@ -114,7 +114,7 @@ def _all_findings(names: tuple[str, ...] = _MIXED_IDS) -> str:
 
 
 def mixed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(spark, sf_dir).withColumn("violations", F.expr(scan.scan_sql("text")))
+    return mixed(spark, sf_dir).withColumn("violations", once(F.expr(scan.scan_sql("text"))))
 
 
 @query("findings_ordered", f'{_all_findings()} SELECT key, (row_number() OVER (PARTITION BY key ORDER BY conf DESC, idx, s) - 1)::int AS pos, type, {derived.mask("v")} AS value, s AS start, e AS "end", conf AS confidence FROM all_f')

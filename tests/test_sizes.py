@@ -2,6 +2,7 @@
 
 import pytest
 from lumenguard.functions import pack
+from lumenguard.operators import scan
 from lumenguard.operators.classify import expressions
 from lumenguard.plans.catalogue import QUERIES
 from lumenguard.sources import spread
@@ -29,3 +30,9 @@ def plan(df):
 def test_texts_are_classified_once(spark, name):
     found = plan(QUERIES[name](spark, SF))
     assert found.count(MARK) == expressions("text", pack.PATTERNS)[1].count(MARK) and "Repartition" in found
+
+
+@pytest.mark.parametrize("name", ["findings_by_nation_cube", "findings_by_type", "findings_ordered", "types_per_doc", "precision_recall_f1", "policy_default", "registry_unknown_action", "precision_recall_grouping_sets"])
+def test_texts_are_scanned_once(spark, name):
+    found = plan(QUERIES[name](spark, SF))
+    assert found.count(MARK) == scan.scan_sql("text").count(MARK) and "Repartition" in found
