@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.masks import line_column
@@ -24,6 +24,12 @@ def listing(violations: Column, most: int = MOST_LISTED) -> Column:
     return F.slice(violations, 1, most)
 
 
+def listed(rows: DataFrame, keys: list[str], order: list[Column | str], most: int = MOST_LISTED) -> DataFrame:
+    """``listing`` over a table of findings: the first ``most`` rows of each of ``keys`` in ``order``. Each task leaves out all but its own first ones before rows are put together."""
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("_n", n).where(F.col("_n") <= most).drop("_n")
+
+
 def counts_by_type(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, type, n, first): most first, equals by first appearance; order by n desc, first."""
     return rows.groupBy(*keys, "type").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))

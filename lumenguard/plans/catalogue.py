@@ -135,9 +135,8 @@ def findings_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("findings_top50", f"{_all_findings()}, r AS (SELECT *, row_number() OVER (PARTITION BY key % 10 ORDER BY conf DESC, idx, key, s) AS rn FROM all_f) SELECT key % 10 AS grp, type, count(*) AS n FROM r WHERE rn <= 50 GROUP BY ALL")
 def findings_top50(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 50 findings of each of ten joined inputs, by type."""
-    rows = mixed(spark, sf_dir).select("key", F.explode(scan.raw_matches(F.col("text"))).alias("m"))
-    per = rows.groupBy((F.col("key") % 10).alias("grp")).agg(F.array_sort(F.collect_list(F.struct((-F.col("m.confidence")).alias("k"), F.col("m.idx").alias("i"), "key", F.col("m.start").alias("s"), F.col("m.type").alias("type")))).alias("x"))
-    return per.select("grp", F.explode(report.listing(F.col("x"))).alias("x")).groupBy("grp", F.col("x.type").alias("type")).agg(F.count(F.lit(1)).alias("n"))
+    rows = mixed(spark, sf_dir).select("key", F.explode(scan.raw_matches(F.col("text"))).alias("m")).select((F.col("key") % 10).alias("grp"), "key", "m.*")
+    return report.listed(rows, ["grp"], [F.desc("confidence"), "idx", "key", "start"]).groupBy("grp", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("types_per_doc", f"{_all_findings()} SELECT key, array_to_string(list_sort(list(DISTINCT type)), ',') AS types FROM all_f GROUP BY key")

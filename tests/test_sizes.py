@@ -2,7 +2,7 @@
 
 import pytest
 from lumenguard.functions import pack
-from lumenguard.operators import scan
+from lumenguard.operators import report, scan
 from lumenguard.operators.classify import expressions
 from lumenguard.plans.catalogue import QUERIES
 from lumenguard.sources import spread
@@ -36,3 +36,11 @@ def test_texts_are_classified_once(spark, name):
 def test_texts_are_scanned_once(spark, name):
     found = plan(QUERIES[name](spark, SF))
     assert found.count(MARK) == scan.scan_sql("text").count(MARK) and "Repartition" in found
+
+
+def test_listed_rows_are_bounded_before_they_are_put_together(spark):
+    df = QUERIES["findings_top50"](spark, SF)
+    assert "WindowGroupLimit" in plan(df) and "collect_list" not in plan(df) and "Repartition" in plan(df)
+    rows = spark.range(1000).select((F.col("id") % 3).alias("g"), "id")
+    kept = report.listed(rows, ["g"], [F.desc("id")], 5).collect()
+    assert sorted(r["id"] for r in kept) == list(range(985, 1000))
