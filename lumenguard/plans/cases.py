@@ -127,7 +127,7 @@ _EVENT_TEXT = "concat('n ', case when event_id % 3 = 0 then concat(" + padded("1
 @query("windowed_findings", "SELECT date_trunc('hour', ts) AS hour, CASE event_id % 3 WHEN 0 THEN 'SSN' ELSE 'MRN' END AS type, count(*) AS n FROM events WHERE event_id % 3 < 2 GROUP BY ALL")
 def windowed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The streaming operator over a batch: findings by hour and type."""
-    rows = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.expr(_EVENT_TEXT).alias("text"))
+    rows = spread(table(spark, sf_dir, "events")).select(F.col("ts").cast("timestamp").alias("ts"), F.expr(_EVENT_TEXT).alias("text"))
     return windowed_counts(rows, "text", "ts", "1 hour", "1 hour").select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "type", "n")
 
 

@@ -26,7 +26,7 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["cross_view_dedupe", "report_totals", "nested_payload"])
+@pytest.mark.parametrize("name", ["cross_view_dedupe", "report_totals", "nested_payload", "windowed_findings"])
 def test_texts_are_classified_once(spark, name):
     found = plan(QUERIES[name](spark, SF))
     assert found.count(MARK) == expressions("text", pack.PATTERNS)[1].count(MARK) and "Repartition" in found
