@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+PERCENTS = (50, 95, 99)
+#: Bands in which the ranks should lie go from this much below to as much above.
+MARGIN = 0.001
 
 def outcome_counts(label: Column, hit: Column) -> list[Column]:
     yes = label == "positive"
@@ -56,6 +59,31 @@ def conformance_record(outcomes: DataFrame, pack_version: str, pack_sha256: str,
 
 
 def percentiles(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
-    """p50, p95 and p99 of ``value`` by nearest rank, in all or by ``keys``; mergeable, so no group is sorted in one task."""
-    at = lambda p: F.percentile_approx(value, p, 1_000_000).alias(f"p{round(p * 100)}")
-    return df.groupBy(*(keys or [])).agg(at(0.5), at(0.95), at(0.99))
+    """p50, p95 and p99 of ``value`` by nearest rank, in all or by ``keys``; exact, and no group is sorted in one task.
+
+    Values are counted, and fall into bands between approximate quantiles, which need not be right: the sums of bands tell which one
+    holds a rank. Only the values of such bands, about one in 500, are put in order, each band by itself.
+    """
+    keys, c = keys or [], F.col
+    groups = df.groupBy(*keys).agg(F.count(value).alias("_n"), F.percentile_approx(value, [p / 100 + d for p in PERCENTS for d in (-MARGIN, MARGIN)], 10_000).alias("_edges"))
+    names = [f"_key{i}" for i in range(len(keys))]
+
+    def beside(rows: DataFrame, other: DataFrame) -> DataFrame:
+        """``rows`` with the columns of ``other`` of their keys, which may be null."""
+        renamed = other.select(*[c(k).alias(n) for k, n in zip(keys, names, strict=True)], *[x for x in other.columns if x not in keys])
+        on = [c(k).eqNullSafe(c(n)) for k, n in zip(keys, names, strict=True)] or [F.lit(True)]
+        return rows.join(renamed, on).drop(*names)
+
+    counted = df.where(c(value).isNotNull()).groupBy(*keys, c(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    banded = beside(counted, groups.select(*keys, "_edges")).withColumn("_band", F.size(F.filter("_edges", lambda e: e < c("_v")))).drop("_edges")
+    bands = banded.groupBy(*keys, "_band").agg(F.sum("_c").alias("_in"))
+    upto = F.sum("_in").over(Window.partitionBy(*keys).orderBy("_band"))
+    ranks = F.array(*[F.struct(F.lit(p).alias("p"), F.expr(f"(_n * {p} + 99) div 100").alias("rank")) for p in PERCENTS])
+    wanted = beside(bands.withColumn("_upto", upto), groups.select(*keys, F.explode(ranks).alias("_w"))).where((c("_w.rank") <= c("_upto")) & (c("_w.rank") > c("_upto") - c("_in")))
+    held = wanted.groupBy(*keys, c("_band").alias("_wanted")).agg(F.first(c("_upto") - c("_in")).alias("_before"), F.collect_list("_w").alias("_ws"))
+    within = F.sum("_c").over(Window.partitionBy(*keys, "_band").orderBy("_v"))
+    placed = beside(banded, held).where(c("_band") == c("_wanted")).withColumn("_to", c("_before") + within).select(*keys, "_v", "_c", "_to", F.explode("_ws").alias("_w"))
+    at = placed.where((c("_w.rank") <= c("_to")) & (c("_w.rank") > c("_to") - c("_c"))).select(*keys, c("_w.p").alias("_p"), "_v")
+    # groups without a value have a row, too
+    every = at.unionByName(groups.select(*keys, F.lit(0).alias("_p"), F.lit(None).cast(dict(df.dtypes)[value]).alias("_v")))
+    return every.groupBy(*keys).agg(*[F.max(F.when(c("_p") == p, c("_v"))).alias(f"p{p}") for p in PERCENTS])

@@ -2,7 +2,7 @@
 
 import pytest
 from lumenguard.functions import pack
-from lumenguard.operators import report, scan
+from lumenguard.operators import metrics, report, scan
 from lumenguard.operators.classify import expressions
 from lumenguard.plans.catalogue import QUERIES
 from lumenguard.sources import spread
@@ -44,3 +44,22 @@ def test_listed_rows_are_bounded_before_they_are_put_together(spark):
     rows = spark.range(1000).select((F.col("id") % 3).alias("g"), "id")
     kept = report.listed(rows, ["g"], [F.desc("id")], 5).collect()
     assert sorted(r["id"] for r in kept) == list(range(985, 1000))
+
+
+def test_percentiles_are_exact(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 5 == 0, None).otherwise((F.col("id") % 3).cast("string")).alias("g"), (F.hash("id") % 40_000_000).cast("long").alias("v"))
+    rows = rows.unionByName(spark.createDataFrame([("none", None), ("one", 7), ("two", 1), ("two", 2)], "g string, v long"))
+    got = {r["g"]: (r["p50"], r["p95"], r["p99"]) for r in metrics.percentiles(rows, "v", ["g"]).collect()}
+    values = {}
+    for r in rows.collect():
+        values.setdefault(r["g"], []).extend([] if r["v"] is None else [r["v"]])
+    nearest = lambda vs, p: sorted(vs)[(len(vs) * p + 99) // 100 - 1] if vs else None
+    assert got == {g: tuple(nearest(vs, p) for p in (50, 95, 99)) for g, vs in values.items()}
+    every = [v for vs in values.values() for v in vs]
+    assert tuple(metrics.percentiles(rows, "v").first()) == tuple(nearest(every, p) for p in (50, 95, 99))
+
+
+def test_percentiles_of_many_values_are_exact(spark):
+    n = 4_000_037
+    rows = spark.range(n).select((F.col("id") * 7919 % n).alias("v"))  # each number below n once
+    assert tuple(metrics.percentiles(rows, "v").first()) == tuple((n * p + 99) // 100 - 1 for p in (50, 95, 99))
