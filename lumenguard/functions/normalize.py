@@ -67,23 +67,38 @@ def composed(outer: Column, inner: Column) -> Column:
     return F.when(outer.isNull(), inner).when(inner.isNull(), outer).otherwise(F.transform(outer, lambda i: F.get(inner, i)))
 
 
+def _places(text: Column, pattern: str) -> Column:
+    return let(find(text, pattern), lambda spans: kept_places(text, spans))
+
+
 def _without(text: Column, pattern: str) -> Column:
     """(text, map, removed): ``text`` less the matches of ``pattern``."""
 
     def placed(out: Column) -> Column:
         removed = F.length(text) - F.length(out)
-        places = F.when(removed > 0, let(find(text, pattern), lambda spans: kept_places(text, spans)))
+        places = F.when(removed > 0, _places(text, pattern))
         return F.struct(out.alias("text"), places.alias("map"), removed.alias("removed"))
 
     return let(F.regexp_replace(text, pattern, ""), placed)
 
 
-def zero_width(text: Column) -> Column:
+def _may_hold_zero_width(text: Column) -> Column:
     """Only texts with one of the bytes that these characters begin with are looked through."""
     raw = text.cast("binary")
-    held = F.contains(raw, F.unhex(F.lit("E280"))) | F.contains(raw, F.unhex(F.lit("E281"))) | F.contains(raw, F.unhex(F.lit("EFBBBF")))
+    return F.contains(raw, F.unhex(F.lit("E280"))) | F.contains(raw, F.unhex(F.lit("E281"))) | F.contains(raw, F.unhex(F.lit("EFBBBF")))
+
+
+def zero_width_at_once(text: Column) -> Column:
+    """``zero_width`` for use in a larger expression, where all fields are needed and each part is to be worked out once."""
     plain = F.struct(text.alias("text"), F.lit(None).cast("array<int>").alias("map"), F.lit(0).alias("removed"))
-    return F.when(held, _without(text, ZERO_WIDTH)).otherwise(plain)
+    return F.when(_may_hold_zero_width(text), _without(text, ZERO_WIDTH)).otherwise(plain)
+
+
+def zero_width(text: Column) -> Column:
+    """(text, map, removed). The fields stand side by side, so that a query works out only those it asks for."""
+    out = F.when(_may_hold_zero_width(text), F.regexp_replace(text, ZERO_WIDTH, "")).otherwise(text)
+    removed = F.coalesce(F.length(text) - F.length(out), F.lit(0))
+    return F.struct(out.alias("text"), F.when(removed > 0, _places(text, ZERO_WIDTH)).alias("map"), removed.alias("removed"))
 
 
 def compact(text: Column) -> Column:
@@ -182,4 +197,4 @@ def views(text: Column, folded: Column) -> Column:
 
         return let(F.struct(compact(zw.text).alias("c"), encoded_views(text).alias("enc")), rest)
 
-    return let(zero_width(folded["text"]), build)
+    return let(zero_width_at_once(folded["text"]), build)

@@ -227,8 +227,9 @@ def locate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("zero_width_strip", "SELECT doc_id, md5(t) AS digest, (length(z) - length(t))::int AS removed FROM (SELECT doc_id, replace(text, ' t', ' ' || chr(8203) || 't' || chr(65279)) AS z, replace(text, ' t', ' t') AS t FROM documents)")
 def zero_width(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit(" t"), F.lit(" ​t﻿")).alias("z"))
-    return marked.select("doc_id", N.zero_width(F.col("z")).alias("x")).select("doc_id", F.md5("x.text").alias("digest"), "x.removed")
+    marked = spread(table(spark, sf_dir, "documents")).select("doc_id", F.replace("text", F.lit(" t"), F.lit(" ​t﻿")).alias("z"))
+    x = N.zero_width(F.col("z"))
+    return marked.select("doc_id", F.md5(x["text"]).alias("digest"), x["removed"].alias("removed"))
 
 
 @query("compact_view", r"SELECT doc_id, md5(c) AS digest, (length(z) - length(c))::int AS removed FROM (SELECT doc_id, z, regexp_replace(regexp_replace(z, '([0-9\-_/.:])\s+([0-9\-_/.:])', '\1\2', 'g'), '([0-9\-_/.:])\s+([0-9\-_/.:])', '\1\2', 'g') AS c FROM (SELECT doc_id, text || ' 12 34 5 6 - 7 ' || doc_id AS z FROM documents))")

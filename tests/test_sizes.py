@@ -1,7 +1,7 @@
 """Plans and results that only larger tables show: rows dealt evenly, each text scanned once, exact ranks."""
 
 import pytest
-from lumenguard.functions import pack
+from lumenguard.functions import normalize, pack
 from lumenguard.operators import metrics, report, scan
 from lumenguard.operators.classify import expressions
 from lumenguard.plans.catalogue import QUERIES
@@ -63,3 +63,11 @@ def test_percentiles_of_many_values_are_exact(spark):
     n = 4_000_037
     rows = spark.range(n).select((F.col("id") * 7919 % n).alias("v"))  # each number below n once
     assert tuple(metrics.percentiles(rows, "v").first()) == tuple((n * p + 99) // 100 - 1 for p in (50, 95, 99))
+
+
+def test_places_are_left_out_where_not_asked_for(spark):
+    found = plan(QUERIES["zero_width_strip"](spark, SF))
+    assert "regexp_replace" in found and "regexp_extract_all" not in found and "Repartition" in found
+    rows = spark.createDataFrame([("a\u200bb\ufeff",), ("ab",), ("é\u200b",), (None,)], "t string")
+    for whole in (normalize.zero_width, normalize.zero_width_at_once):
+        assert [tuple(r["x"]) for r in rows.select(whole(F.col("t")).alias("x")).collect()] == [("ab", [0, 2], 2), ("ab", None, 0), ("é", [0], 1), (None, None, 0)]
