@@ -23,6 +23,8 @@ URL = r"[A-Za-z0-9_\-.~!*'();:@&=+$,/?#\[\]%]+"
 ESCAPE = "%[0-9A-Fa-f]{2}"
 #: Characters that are their own compatibility forms: ASCII, and common letters and marks of Latin, Cyrillic, Greek, Chinese, Japanese and Korean.
 OWN_FORMS = r"\x00-\x7F¡¿«»À-ıĴ-ľŁ-ňŊ-žΆΈ-ΊΌΎ-ΡΣ-ώЀ-ҁ–—‘’“”•€ぁ-ゖァ-ヺ一-鿿가-힣"
+#: A character outside ``OWN_FORMS``. The engine asks one range after the other, so ASCII is set apart first, then letters of Latin and of other scripts.
+WIDE = rf"[\x{{80}}-\x{{10FFFF}}&&[[^À-ı]&&[[^Ѐ-ҁぁ-ゖァ-ヺ一-鿿가-힣]&&[^{OWN_FORMS}]]]]"
 LEAST, LEFT_TRIMS = 24, 4
 #: What a text needs to have for a Base64 run or a run with escapes of ``LEAST`` characters.
 LONG_RUN = rf"(?<!\S)\S{{{LEAST}}}"
@@ -58,8 +60,9 @@ def _nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 def nfkc(text: Column) -> Column:
     """(text, map, changed). There is no built-in for it; only texts with characters outside ``OWN_FORMS`` go to Python."""
     plain = F.struct(text.alias("text"), F.lit(None).cast("array<int>").alias("map"), F.lit(0).alias("changed"))
-    wide = (F.octet_length(text) != F.length(text)) & text.rlike(f"[^{OWN_FORMS}]")
-    return F.when(wide, _nfkc(F.when(wide, text))).otherwise(plain)
+    wide = (F.octet_length(text) != F.length(text)) & text.rlike(WIDE)
+    folded = _nfkc(F.when(wide, text))  # what has no text did not go, so texts are looked through once
+    return F.when(folded["text"].isNotNull(), folded).otherwise(plain)
 
 
 def composed(outer: Column, inner: Column) -> Column:

@@ -1,5 +1,8 @@
 """Plans and results that only larger tables show: rows dealt evenly, each text scanned once, exact ranks."""
 
+import re
+import unicodedata
+
 import pytest
 from lumenguard.functions import normalize, pack
 from lumenguard.operators import metrics, report, scan
@@ -71,3 +74,25 @@ def test_places_are_left_out_where_not_asked_for(spark):
     rows = spark.createDataFrame([("a\u200bb\ufeff",), ("ab",), ("é\u200b",), (None,)], "t string")
     for whole in (normalize.zero_width, normalize.zero_width_at_once):
         assert [tuple(r["x"]) for r in rows.select(whole(F.col("t")).alias("x")).collect()] == [("ab", [0, 2], 2), ("ab", None, 0), ("é", [0], 1), (None, None, 0)]
+
+
+def test_characters_to_fold_are_those_without_own_forms(spark):
+    own = re.compile(f"[{normalize.OWN_FORMS}]")
+    every = [c for c in map(chr, range(0x110000)) if not "\ud800" <= c <= "\udfff"]
+    rows = spark.range(0x110000).where("id < 55296 or id > 57343").select("id", F.decode(F.unhex(F.concat(F.lit("00000078"), F.lpad(F.hex("id"), 8, "0"))), "UTF-32").alias("c"))  # after an x, as a byte order mark at the start goes
+    assert [chr(r["id"]) for r in rows.where(F.col("c").rlike(normalize.WIDE)).orderBy("id").collect()] == [c for c in every if not own.match(c)]
+
+
+@pytest.mark.parametrize("name", ["nfkc_full", "comply_full_result"])
+def test_texts_are_looked_through_for_folding_once(spark, name):
+    found = plan(QUERIES[name](spark, SF))
+    assert found.count("octet_length(") == 1 and found.count("가-힣") == normalize.WIDE.count("가-힣")
+
+
+def test_folding_takes_each_character_alone(spark):
+    texts = ["", None, "plain", "für “dich” – 中文 가", "１２３ ﬁne", "é", "e\u0301", "½", "K \u212a", "\U0001d7d8\U0001f600", "ǆ가 ﷺ"]
+    got = [r["x"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(normalize.nfkc(F.col("t")).alias("x")).collect()]
+    for t, x in zip(texts, got, strict=True):
+        forms = [unicodedata.normalize("NFKC", c) for c in t or ""]
+        places = [i for i, f in enumerate(forms) for _ in f]
+        assert tuple(x) == (None if t is None else "".join(forms), places if any(len(f) != 1 for f in forms) else None, sum(f != c for f, c in zip(forms, t or "", strict=True)))
