@@ -40,9 +40,19 @@ def decode_input(content: Column) -> Column:
 def spread(df: DataFrame) -> DataFrame:
     """Rows of files dealt evenly over a few parts for each core, for work that costs more than moving them. How many parts Spark cuts
     a file into tells nothing: one of them reads all rows of a row group, and the others are empty. Inputs of many files stay as they are.
-    Parts are not many, as each task takes a few tenths of a second to unpack the expressions of the rule pack."""
-    parts = PARTS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= parts else df.repartition(parts)
+    Parts are not many, as each task takes a few tenths of a second to unpack the expressions of the rule pack, but none is of more bytes
+    than Spark would cut from a file, so that a task does not grow with the table."""
+    session, read = df.sparkSession, len(df.inputFiles())
+    parts = PARTS_PER_CORE * session.sparkContext.defaultParallelism
+    if read >= parts:
+        return df
+    return df.repartition(max(parts, -(-file_bytes(df) // session._jsparkSession.sessionState().conf().filesMaxPartitionBytes())) if read else parts)
+
+
+def file_bytes(df: DataFrame) -> int:
+    """Bytes of the tables that ``df`` reads, as Spark estimates them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(leaves.apply(i).stats().sizeInBytes() for i in range(leaves.size()))
 
 
 def files(spark: SparkSession, paths: list[str]) -> DataFrame:

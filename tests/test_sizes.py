@@ -25,6 +25,18 @@ def test_rows_of_one_row_group_are_dealt(spark, tmp_path):
     assert len(counts) >= spark.sparkContext.defaultParallelism and max(counts) < 2 * min(counts)
 
 
+def test_parts_grow_with_the_bytes_read(spark, tmp_path):
+    spark.range(30_000).select(F.sha2(F.col("id").cast("string"), 256).alias("h")).coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    few = spread(df).rdd.getNumPartitions()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")  # the table has about 2 MB
+    try:
+        many = spread(df).rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert few == 3 * spark.sparkContext.defaultParallelism and many > 2 * few
+
+
 def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
